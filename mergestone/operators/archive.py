@@ -104,6 +104,7 @@ def _packer(block_bytes: int):
     def pack(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -121,7 +122,7 @@ def _packer(block_bytes: int):
             t = {name: b.column(i) for i, name in enumerate(b.schema.names)}
             stores, levels, ids = (t[c].to_pylist() for c in ("store_id", "sst_level", "sst_id"))
             paths, data = t["sst_path"], t["record"]
-            lengths = np.asarray(pa.compute.binary_length(data))
+            lengths = np.asarray(pc.binary_length(data))
             ends = np.cumsum(lengths)
             cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1] or stores[i] != stores[i - 1] or levels[i] != levels[i - 1]), len(ids)]
             raw = b"".join(data.to_pylist())
