@@ -64,12 +64,14 @@ def chunk_pieces(docs: DataFrame, chunk: int = CHUNK_CHARS, overlap: int = OVERL
     by = Window.partitionBy("row_id").orderBy("piece")
     sync = seen.withColumn("begin", F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect(F.lag("tail").over(by), "head"))))
     sync = sync.withColumn("end", F.lead("begin").over(by)).withColumn("last", F.lead("piece").over(by).isNull())
-    sync = sync.withColumn("broken", F.max(F.col("begin").isNull()).over(Window.partitionBy("row_id")))
+    text_rows = Window.partitionBy("row_id")
+    sync = sync.withColumn("broken", F.max(F.col("begin").isNull()).over(text_rows))
+    part = F.when(F.col("broken"), F.substring("text", 1, chunk))
+    whole = F.concat_ws("", F.collect_list(part).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     length = F.when(F.col("last"), F.length("text")).otherwise((F.col("end") - F.col("begin")).cast("int"))
-    cut = sync.where(~F.col("broken")).select("row_id", "doc_id", "piece", F.substring("text", (F.col("begin") - F.col("start") + 1).cast("int"), length).alias("text"))
-    parts = F.sort_array(F.collect_list(F.struct("piece", F.substring("text", 1, chunk).alias("part"))))
-    whole = sync.where("broken").groupBy("row_id", "doc_id").agg(parts.alias("p")).select("row_id", "doc_id", F.lit(0).alias("piece"), F.concat_ws("", "p.part").alias("text"))
-    return cut.unionByName(whole)
+    own = F.substring("text", (F.col("begin") - F.col("start") + 1).cast("int"), length)
+    sync = sync.withColumn("whole", whole).where(~F.col("broken") | (F.col("piece") == 0))
+    return sync.select("row_id", "doc_id", "piece", F.when(F.col("broken"), F.col("whole")).otherwise(own).alias("text"))
 
 
 def encode_documents(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:

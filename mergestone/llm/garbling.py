@@ -45,7 +45,6 @@ class _Page:
     name: str
     to_byte: dict[int, int]
     sequence: re.Pattern
-    high: re.Pattern
     latin: bool
 
 
@@ -66,8 +65,8 @@ def _page(codec: str) -> _Page:
     cont += extra
     c = _class(cont)
     two, three, four = (_class(shown[a - 0x80 : z - 0x7F]) for a, z in ((0xC2, 0xDF), (0xE0, 0xEF), (0xF0, 0xF4)))
-    latin = codec in ("cp1252", "cp1250", "cp1254", "cp1257")
-    return _Page(codec, to_byte, re.compile(f"(?:{four}{c}{{3}}|{three}{c}{{2}}|{two}{c})+"), re.compile(_class([chr(x) for x in to_byte]) + "+"), latin)
+    latin = codec not in ("cp1251", "cp1253", "cp866", "koi8_r")
+    return _Page(codec, to_byte, re.compile(f"(?:{four}{c}{{3}}|{three}{c}{{2}}|{two}{c})+"), latin)
 
 
 def _ranges(*pairs: tuple[int, int]) -> re.Pattern:
@@ -119,12 +118,13 @@ def _sequence_is_garbled(text: str, start: int, end: int, new: str, page: _Page)
     if page.name == "cp850" and old.isalpha() and len(new) < 3 and not all("‐" <= c <= "₿" for c in new):
         return False  # here the lead bytes of Cyrillic and Greek are letters
     if len(new) > 1 or len(old) > 2:
-        if len(new) == 1 or not all(c in _CLOSING or c.isupper() for c in old):
-            return True
-        # only capitals and marks, as at the end of shouted words: each pair must stand alone
-        return len(new) > 2
+        if page.name in ("mac_roman", "cp850") and len(new) == 1 and old.isalpha() and not "‐" <= new <= "₿":
+            return False
+        return True
     before, after = text[start - 1 : start], text[end : end + 1]
     lead, tail = old
+    if page.name == "mac_roman" and lead in "–—":  # a dash before an accented letter
+        return False
     if tail in (_CLOSING_LATIN if page.latin else _CLOSING) or (tail.isalpha() and tail.isupper()):
         same = lambda c: bool(c) and c.isalpha() and _script(c) == _script(lead)
         if same(before) and (before.isupper() or not page.latin):
@@ -138,24 +138,27 @@ def _sequence_is_garbled(text: str, start: int, end: int, new: str, page: _Page)
     return True
 
 
-def _foreign(text: str, page: _Page, found: list[re.Match]) -> list[tuple[int, int]]:
-    """Runs of high characters of which the sequences cover little: another encoding's bytes, see _decode_wide."""
-    spans = []
-    for run in page.high.finditer(text):
-        if run.end() - run.start() >= 6:
-            covered = sum(m.end() - m.start() for m in found if run.start() <= m.start() < run.end())
-            if covered < 0.85 * (run.end() - run.start()):
-                spans.append(run.span())
-    return spans
+_HIGH_RUN = re.compile("[^\\x00-\\x7f]+")
+
+
+def _own(text: str, found: list[re.Match]) -> list[re.Match]:
+    """Without the sequences in long runs of high characters that they explain only in part: another encoding's bytes, see _decode_wide."""
+    out, i = [], 0
+    for run in _HIGH_RUN.finditer(text):
+        inside = []
+        while i < len(found) and found[i].start() < run.end():
+            inside.append(found[i])
+            i += 1
+        n = run.end() - run.start()
+        if inside and (n < 6 or sum(m.end() - m.start() for m in inside) >= 0.85 * n):
+            out += inside
+    return out
 
 
 def _decode_sequences(text: str, page: _Page) -> tuple[str, int]:
     n, out, at = 0, [], 0
     found = list(page.sequence.finditer(text))
-    skip = _foreign(text, page, found) if found and page.latin else []
-    for m in found:
-        if any(a <= m.start() < z for a, z in skip):
-            continue
+    for m in _own(text, found) if found else found:
         raw = bytes(page.to_byte[ord(c)] for c in m.group())
         try:
             new = raw.decode("utf-8")
@@ -490,11 +493,11 @@ def repair(text: str | None) -> Repair:
         if _EAST.search(new):
             new, k = _decode_east(new)
             n += k
-        if not n:
+        if not n and (_THREE_HIGH.search(new) or _SHIFT_JIS.search(new)):
             new, n = _decode_wide(new)
-        if not n:
+        if not n and _CYRILLIC_RUN.search(new):
             new, n = _decode_cyrillic(new)
-        if not n:
+        if not n and _ODD.search(new):
             new, n = _decode_narrow(new)
         if not n and _C1.search(new):
             fixed = _C1.sub(lambda m: _chars("cp1252")[ord(m.group()) - 0x80], new)
