@@ -123,8 +123,8 @@ def _sequence_is_garbled(text: str, start: int, end: int, new: str, page: _Page)
         return True
     before, after = text[start - 1 : start], text[end : end + 1]
     lead, tail = old
-    if page.name == "mac_roman" and lead in "–—":  # a dash before an accented letter
-        return False
+    if page.name == "mac_roman" and (lead in "–—" and (tail.isalpha() or tail in "£¢") or _page("cp1252").sequence.fullmatch(old)):
+        return False  # a dash before an accented letter, or what the commoner page reads too
     if tail in (_CLOSING_LATIN if page.latin else _CLOSING) or (tail.isalpha() and tail.isupper()):
         same = lambda c: bool(c) and c.isalpha() and _script(c) == _script(lead)
         if same(before) and (before.isupper() or not page.latin):
