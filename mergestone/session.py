@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session: at least so many tasks keep the cluster busy."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once an application, so that it need not be installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="mergestone-code-")) / "mergestone_code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, Path(package.name) / p.relative_to(package))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
