@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergestone.operators.offsets import CHUNK_ROWS, chunked_totals, file_split
+from mergestone.operators.offsets import CHUNK_ROWS, chunked_totals, with_split
+from mergestone.schemas import DELETE, PUT
 
 MEASURES = ("puts", "deletes", "value_bytes")
 
 
 def log_measures(wal_entry: DataFrame) -> DataFrame:
-    """Rows of the log as (table_name, key_bytes, split, place, measures). wal_entry is a plain Parquet read."""
-    return wal_entry.select(
-        F.lit("wal_entry").alias("table_name"), "key_bytes", *file_split(),
-        (F.col("op_type") == 1).cast("long").alias("puts"), (F.col("op_type") == 2).cast("long").alias("deletes"),
-        F.octet_length("value_bytes").cast("long").alias("value_bytes"),
-    )
+    """Rows of the log as (table_name, key_bytes, split, place, measures)."""
+    rows, split = with_split(wal_entry, ["key_bytes", "op_type", "value_bytes"])
+    puts, deletes = ((F.col("op_type") == t).cast("long") for t in (PUT, DELETE))
+    return _measured(rows, "wal_entry", split, puts, deletes)
 
 
 def put_measures(kvpair_put: DataFrame) -> DataFrame:
     """Incoming writes in the same shape; a tombstone is a delete, a null flag neither."""
-    return kvpair_put.select(
-        F.lit("kvpair_put").alias("table_name"), "key_bytes", *file_split(),
-        (~F.col("tombstone")).cast("long").alias("puts"), F.col("tombstone").cast("long").alias("deletes"),
-        F.octet_length("value_bytes").cast("long").alias("value_bytes"),
-    )
+    rows, split = with_split(kvpair_put, ["key_bytes", "tombstone", "value_bytes"])
+    return _measured(rows, "kvpair_put", split, (~F.col("tombstone")).cast("long"), F.col("tombstone").cast("long"))
+
+
+def _measured(rows: DataFrame, name: str, split: list[Column], puts: Column, deletes: Column) -> DataFrame:
+    return rows.select(F.lit(name).alias("table_name"), "key_bytes", *split, puts.alias("puts"), deletes.alias("deletes"), F.octet_length("value_bytes").cast("long").alias("value_bytes"))
 
 
 def per_key(wal_entry: DataFrame, kvpair_put: DataFrame, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,13 +11,35 @@ from mergestone.operators.log_records import valid_records
 from mergestone.sources import files
 
 RECORDS = "store_id int, log_index long, term long, op_type tinyint, key_bytes binary, value_bytes binary, arrived_us long"
+#: Bytes of a file that a task holds while it takes the file's checksum.
+READ_BYTES = 1 << 20
 LISTING = "path string, size long, checksum string"
 
 
+def _checksums(batches: Iterator) -> Iterator:
+    """Streams each file through MD5, a block at a time."""
+    import hashlib
+
+    import pyarrow as pa
+
+    from mergestone.sources.readers import open_fs
+
+    for b in batches:
+        sums = []
+        for path in b.column(0).to_pylist():
+            where, inner = open_fs(path)
+            digest = hashlib.md5(usedforsecurity=False)
+            with where.open_input_stream(inner) as f:
+                while block := f.read(READ_BYTES):
+                    digest.update(block)
+            sums.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums, pa.string())], names=["path", "size", "checksum"])
+
+
 def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """(path, size, checksum) of the files at path, a folder or a file. Checksums are taken on the executors."""
+    """(path, size, checksum) of the files at path, a folder or a file. Checksums are taken on the executors, without holding a file in memory."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return found.select("path", F.col("length").alias("size"), F.md5("content").alias("checksum"))
+    return found.select("path", F.col("length").alias("size")).mapInArrow(_checksums, LISTING)
 
 
 class IncrementalLog:

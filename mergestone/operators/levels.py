@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergestone.operators.versions import resolve_by_tier
-
-_FILES = Window.partitionBy("store_id", "level")
+from mergestone.session import materialize, parallelism
 
 
 def level_layout(meta: DataFrame) -> DataFrame:
@@ -16,7 +15,7 @@ def level_layout(meta: DataFrame) -> DataFrame:
     Level 0 is in order of arrival (the number); deeper levels by smallest key, arrival among equals. One row a run.
     """
     deep = F.col("level") > 0
-    by = _FILES.orderBy(F.when(deep, F.col("min_key")), "run")
+    by = Window.partitionBy("store_id", "level").orderBy(F.when(deep, F.col("min_key")), "run")
     return meta.withColumn("pos", F.row_number().over(by)).withColumn("next_min", F.when(deep, F.lead("min_key").over(by)))
 
 
@@ -48,14 +47,27 @@ def engine_versions(log_entries: DataFrame, entries: DataFrame, meta: DataFrame)
     return memory.select(columns).unionByName(visible_entries(entries, meta).select(columns))
 
 
-def route(wanted: DataFrame, meta: DataFrame, level: int) -> DataFrame:
-    """For each wanted (store_id, key_bytes): ``run``, the one run of the level whose lookup would be opened, or null.
+def route(wanted: DataFrame, meta: DataFrame, level: int, partitions: int | None = None) -> DataFrame:
+    """For each wanted (store_id, key_bytes), once: ``run``, the one run of the level whose lookup would be opened, or null.
 
     The candidate is the run of the greatest smallest key not above the key, if the key is within its range. Runs and keys are
-    sorted together by store and key, and the last run seen so far is carried along: an as-of join in one pass.
+    range-partitioned together by store and key, and each partition carries the last run along: an as-of join in one
+    pass, with no task larger than its range however many keys a store has. A partition begins with the last run of its store in
+    those before it: at most one row for each partition and store that ends in it.
     """
-    runs = level_layout(meta).where(F.col("level") == level).select("store_id", F.col("min_key").alias("at"), F.lit(0).alias("kind"), F.struct("pos", "run", "max_key").alias("r"))
-    keys = wanted.select("store_id", "key_bytes").distinct().select("store_id", F.col("key_bytes").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("struct<pos:int,run:bigint,max_key:binary>").alias("r"))
-    by = Window.partitionBy("store_id").orderBy("at", "kind", "r.pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = runs.unionByName(keys).withColumn("c", F.last("r", ignorenulls=True).over(by)).where(F.col("kind") == 1)
+    spark = wanted.sparkSession
+    none = F.lit(None).cast("struct<pos:int,run:bigint,max_key:binary>")
+    placed = level_layout(meta).where(F.col("level") == level).select("store_id", F.col("min_key").alias("at"), F.lit(0).alias("kind"), F.struct(F.col("pos").cast("int").alias("pos"), "run", "max_key").alias("r"))
+    keys = wanted.select("store_id", F.col("key_bytes").alias("at")).distinct().select("store_id", "at", F.lit(1).alias("kind"), none.alias("r"))
+    order = ["store_id", "at", "kind", "r.pos"]
+    n = partitions or parallelism(spark)
+    laid = materialize(placed.unionByName(keys).repartitionByRange(n, "store_id", "at").withColumn("part", F.spark_partition_id()), "route")
+    inside = Window.partitionBy("part", "store_id").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the greatest (key, place) of a store in each partition is the run it hands on
+    ends = laid.where(F.col("kind") == 0).groupBy("store_id", "part").agg(F.max_by("r", F.struct("at", "r.pos")).alias("r"))
+    parts = laid.select("store_id", "part").distinct().join(ends, ["store_id", "part"], "left")
+    before = Window.partitionBy("store_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    handed = parts.select("store_id", "part", F.last("r", ignorenulls=True).over(before).alias("handed"))
+    seen = laid.withColumn("c", F.last("r", ignorenulls=True).over(inside)).where(F.col("kind") == 1).join(handed, ["store_id", "part"], "left")
+    seen = seen.withColumn("c", F.coalesce("c", "handed"))
     return seen.select("store_id", F.col("at").alias("key_bytes"), F.when(F.col("c.max_key") >= F.col("at"), F.col("c.run")).alias("run"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,15 +21,21 @@ CHUNK_ROWS = 65_536
 SPLIT_ROWS = 65_536
 
 
-def file_split(rows_per_split: int = SPLIT_ROWS) -> list[Column]:
-    """Columns for a frame read from Parquet files: the input split of a row and its place in it.
+def with_split(df: DataFrame, columns: Sequence[str], rows_per_split: int = SPLIT_ROWS) -> tuple[DataFrame, list[Column]]:
+    """A frame with ``columns``, and the columns ``split`` (a row's input split) and ``place`` (its place there) to select from it.
 
-    A split is a run of ``rows_per_split`` rows of one file. Unlike a partition number it is the same
-    however often the scan is repeated and however its tasks are laid out.
+    A split is a run of ``rows_per_split`` rows of one file. Unlike a partition number it is the same however often the
+    scan is repeated and however its tasks are laid out. A frame that isn't a plain read of Parquet files is written
+    to the shared folder first.
     """
-    row = F.col("_metadata.row_index")
-    block = F.floor(row / rows_per_split).cast("long")
-    return [F.xxhash64(F.col("_metadata.file_path"), block).alias("split"), row.alias("place")]
+    try:
+        meta = df.metadataColumn("_metadata")
+        df.select(meta.getField("row_index")).schema  # noqa: B018
+    except AnalysisException:
+        df = materialize(df.select(*columns), "split-input")
+        meta = df.metadataColumn("_metadata")
+    row = meta.getField("row_index")
+    return df, [F.xxhash64(meta.getField("file_path"), F.floor(row / rows_per_split)).alias("split"), row.alias("place")]
 
 
 def global_offsets(counts: DataFrame, order: Sequence[str], n: str = "n", partitions: int | None = None) -> DataFrame:
@@ -64,7 +71,7 @@ def global_offsets(counts: DataFrame, order: Sequence[str], n: str = "n", partit
 def chunked_totals(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Per-key sums of ``measures`` and the number of ``rows``, by exact offset chunking.
 
-    ``rows`` has the key columns, ``split`` and ``place`` (see file_split) and the measures as integers.
+    ``rows`` has the key columns, ``split`` and ``place`` (see with_split) and the measures as integers.
     Returns (totals, counts): totals has a row for each key, counts one for each key and split with
     its number of rows ``n`` and the number ``start`` of its first row in key order.
 

@@ -26,7 +26,12 @@ def _hex(c: str, name: str) -> Column:
     return F.lower(F.hex(c)).alias(name)
 
 
-_KEY, _VALUE = _hex("key_bytes", "key_hex"), _hex("value_bytes", "value_hex")
+def _key() -> Column:
+    return _hex("key_bytes", "key_hex")
+
+
+def _value() -> Column:
+    return _hex("value_bytes", "value_hex")
 
 
 def _valid(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,15 +57,15 @@ def _engine(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------------------------ memtable and reads
 def kv_live_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.live(memtable.apply_log(_valid(spark, sf))).select(_store(), _KEY, _VALUE, "log_index")
+    return versions.live(memtable.apply_log(_valid(spark, sf))).select(_store(), _key(), _value(), "log_index")
 
 
 def kv_memtable_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.live(_memory(spark, sf)).select(_store(), _KEY, _VALUE)
+    return versions.live(_memory(spark, sf)).select(_store(), _key(), _value())
 
 
 def memtable_entries_all(spark: SparkSession, sf: str) -> DataFrame:
-    return memtable.entries_in_order(memtable.apply_log(_valid(spark, sf))).select(_store(), _KEY, _VALUE, "tombstone", "log_index")
+    return memtable.entries_in_order(memtable.apply_log(_valid(spark, sf))).select(_store(), _key(), _value(), "tombstone", "log_index")
 
 
 def memtable_sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,15 +73,15 @@ def memtable_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kv_point_get(spark: SparkSession, sf: str) -> DataFrame:
-    return memtable.get(_engine(spark, sf), HOT).select(_store(), _KEY, _VALUE)
+    return memtable.get(_engine(spark, sf), HOT).select(_store(), _key(), _value())
 
 
 def kv_point_get_t(spark: SparkSession, sf: str) -> DataFrame:
-    return memtable.get(memtable.apply_log(_valid(spark, sf)), FLAGS, with_tombstones=True).select(_store(), _KEY, _VALUE, "tombstone")
+    return memtable.get(memtable.apply_log(_valid(spark, sf)), FLAGS, with_tombstones=True).select(_store(), _key(), _value(), "tombstone")
 
 
 def kv_multi_get(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.multi_get(_read(spark, sf, "kvpair_primary"), _engine(spark, sf)).select(_store(), _KEY, _VALUE, "found")
+    return versions.multi_get(_read(spark, sf, "kvpair_primary"), _engine(spark, sf)).select(_store(), _key(), _value(), "found")
 
 
 # ------------------------------------------------------------------------------------ log
@@ -89,7 +94,7 @@ def wal_next_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wal_recover_truncated(spark: SparkSession, sf: str) -> DataFrame:
-    return log.after_mark(_valid(spark, sf), _read(spark, sf, "wal_meta")).select(_store(), "log_index", F.col("op_type").cast("int").alias("op_type"), _KEY, _VALUE)
+    return log.after_mark(_valid(spark, sf), _read(spark, sf, "wal_meta")).select(_store(), "log_index", F.col("op_type").cast("int").alias("op_type"), _key(), _value())
 
 
 def wal_stop_at_damage(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,7 +125,7 @@ def wal_file_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.select(F.format_string("store-%04d", "store_id").alias("folder"), "segment", "term", "log_index", F.col("op_type").cast("int").alias("op_type"), "key_bytes", "value_bytes")
     rows.repartition("folder", "segment").sortWithinPartitions("folder", "segment", "log_index").write.format("wal").mode("append").save(folder)
     back = spark.read.format("wal").load(folder)
-    return back.select(F.regexp_extract("path", r"store-(\d+)/", 1).cast("long").alias("store_id"), "term", "log_index", F.col("op_type").cast("int").alias("op_type"), _KEY, F.coalesce(_VALUE, F.lit("")).alias("value_hex"))
+    return back.select(F.regexp_extract("path", r"store-(\d+)/", 1).cast("long").alias("store_id"), "term", "log_index", F.col("op_type").cast("int").alias("op_type"), _key(), F.coalesce(_value(), F.lit("")).alias("value_hex"))
 
 
 # ------------------------------------------------------------------------------------ runs
@@ -133,11 +138,11 @@ def sst_meta(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sst_sparse_index(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.sparse_index(_entries(spark, sf)).select(*_run_id(), _KEY, F.col("offset").alias("at"))
+    return runs.sparse_index(_entries(spark, sf)).select(*_run_id(), _key(), F.col("offset").alias("at"))
 
 
 def sst_entry_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.entry_offsets(_entries(spark, sf)).select(*_run_id(), _KEY, F.col("nth").cast("long").alias("nth"), F.col("offset").alias("at"))
+    return runs.entry_offsets(_entries(spark, sf)).select(*_run_id(), _key(), F.col("nth").cast("long").alias("nth"), F.col("offset").alias("at"))
 
 
 def sst_range_prune(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,25 +166,25 @@ def sst_file_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     rows = _entries(spark, sf).select(F.format_string("L%d/%06d.sst", "level", "run").alias("file"), "key_bytes", "value_bytes", "tombstone", "ts")
     rows.repartition("file").sortWithinPartitions("file", "key_bytes").write.format("sst").mode("append").save(folder)
     back = spark.read.format("sst").load(folder)
-    return back.select(F.regexp_extract("path", r"(\d+)\.sst$", 1).cast("long").alias("sst_id"), _KEY, F.coalesce(_VALUE, F.lit("")).alias("value_hex"), "tombstone", "ts")
+    return back.select(F.regexp_extract("path", r"(\d+)\.sst$", 1).cast("long").alias("sst_id"), _key(), F.coalesce(_value(), F.lit("")).alias("value_hex"), "tombstone", "ts")
 
 
 # ------------------------------------------------------------------------------------ levels
 def l0_newest_first(spark: SparkSession, sf: str) -> DataFrame:
     zero = levels.tiered_get(_entries(spark, sf).where("level = 0"), _meta(spark, sf).where("level = 0"))
-    return zero.select(_store(), _KEY, F.col("run").alias("sst_id"), "tombstone")
+    return zero.select(_store(), _key(), F.col("run").alias("sst_id"), "tombstone")
 
 
 def l1_route(spark: SparkSession, sf: str) -> DataFrame:
-    return levels.route(_read(spark, sf, "kvpair_primary"), _meta(spark, sf), 1).select(_store(), _KEY, F.col("run").alias("sst_id"))
+    return levels.route(_read(spark, sf, "kvpair_primary"), _meta(spark, sf), 1).select(_store(), _key(), F.col("run").alias("sst_id"))
 
 
 def lsm_tiered_get(spark: SparkSession, sf: str) -> DataFrame:
-    return levels.tiered_get(_entries(spark, sf), _meta(spark, sf)).select(_store(), _KEY, F.col("level").alias("sst_level"), F.col("run").alias("sst_id"), "tombstone")
+    return levels.tiered_get(_entries(spark, sf), _meta(spark, sf)).select(_store(), _key(), F.col("level").alias("sst_level"), F.col("run").alias("sst_id"), "tombstone")
 
 
 def lsm_visible(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.live(_engine(spark, sf)).select(_store(), _KEY, _VALUE)
+    return versions.live(_engine(spark, sf)).select(_store(), _key(), _value())
 
 
 def manifest_levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,18 +192,18 @@ def manifest_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def read_amplification(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.read_amplification(_entries(spark, sf)).select(_store(), _KEY, F.col("versions").alias("n_versions"), F.col("runs").alias("n_runs"))
+    return versions.read_amplification(_entries(spark, sf)).select(_store(), _key(), F.col("versions").alias("n_versions"), F.col("runs").alias("n_runs"))
 
 
 # ------------------------------------------------------------------------------------ merge and compaction
 def merge_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.resolve_by_version(_entries(spark, sf).where("level = 0")).select(_store(), _KEY, _VALUE, "tombstone", F.col("run").alias("sst_id"))
+    return versions.resolve_by_version(_entries(spark, sf).where("level = 0")).select(_store(), _key(), _value(), "tombstone", F.col("run").alias("sst_id"))
 
 
 def merge_tie_break(spark: SparkSession, sf: str) -> DataFrame:
     """Times made equal on purpose: the oldest run must win among equals."""
     tied = _entries(spark, sf).withColumn("ts", F.floor(F.col("log_index") / 2000))
-    return versions.resolve_by_version(tied).select(_store(), _KEY, F.col("ts").alias("coarse_ts"), F.col("run").alias("sst_id"))
+    return versions.resolve_by_version(tied).select(_store(), _key(), F.col("ts").alias("coarse_ts"), F.col("run").alias("sst_id"))
 
 
 def compaction_key_range(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,7 +217,7 @@ def compaction_inputs(spark: SparkSession, sf: str) -> DataFrame:
 def compaction_output(spark: SparkSession, sf: str) -> DataFrame:
     entries = _entries(spark, sf)
     merged = compaction.merge(entries, compaction.inputs(runs.run_meta(entries)))
-    return merged.select(_store(), _KEY, _VALUE, "tombstone", "ts")
+    return merged.select(_store(), _key(), _value(), "tombstone", "ts")
 
 
 def manifest_after_compaction(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,23 +230,23 @@ def manifest_after_compaction(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------------------------ extensions
 def ext_range_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.live(versions.key_range(_engine(spark, sf), b"cfg/", b"q")).select(_store(), _KEY, _VALUE)
+    return versions.live(versions.key_range(_engine(spark, sf), b"cfg/", b"q")).select(_store(), _key(), _value())
 
 
 def ext_prefix_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.live(versions.key_prefix(_engine(spark, sf), PREFIX)).select(_store(), _KEY, _VALUE)
+    return versions.live(versions.key_prefix(_engine(spark, sf), PREFIX)).select(_store(), _key(), _value())
 
 
 def ext_as_of_index(spark: SparkSession, sf: str) -> DataFrame:
     ops = _valid(spark, sf).select("store_id", "key_bytes", "log_index", (F.col("op_type") == 2).alias("tombstone"), "value_bytes")
-    return versions.as_of(ops, 2_500).select(_store(), _KEY, "log_index")
+    return versions.as_of(ops, 2_500).select(_store(), _key(), "log_index")
 
 
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     """The log read as a stream into keyed state; the same rows as a batch resolution of undamaged records by index."""
     from mergestone.streaming.log_stream import latest_by_stream
 
-    return latest_by_stream(spark, f"{sf}/wal_entry.parquet").select(_store(), _KEY, "log_index")
+    return latest_by_stream(spark, f"{sf}/wal_entry.parquet").select(_store(), _key(), "log_index")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
