@@ -115,10 +115,10 @@ def _sequence_is_garbled(text: str, start: int, end: int, new: str, page: _Page)
             return False
         if leads and not all(any(t.isupper() or not t.isalpha() for t in c.encode("utf-8").decode("cp866")[1:]) for c in leads):
             return False
-    if page.name == "cp850" and old.isalpha() and len(new) < 3 and not all("‐" <= c <= "₿" for c in new):
+    if page.name == "cp850" and old.isalpha() and len(new) < 3 and not all("‐" <= c <= "➿" for c in new):
         return False  # here the lead bytes of Cyrillic and Greek are letters
     if len(new) > 1 or len(old) > 2:
-        if page.name in ("mac_roman", "cp850") and len(new) == 1 and old.isalpha() and not "‐" <= new <= "₿":
+        if page.name in ("mac_roman", "cp850") and len(new) == 1 and old.isalpha() and not "‐" <= new <= "➿":
             return False
         return True
     before, after = text[start - 1 : start], text[end : end + 1]
@@ -127,6 +127,8 @@ def _sequence_is_garbled(text: str, start: int, end: int, new: str, page: _Page)
         return False  # a dash before an accented letter, or what the commoner page reads too
     if tail in (_CLOSING_LATIN if page.latin else _CLOSING) or (tail.isalpha() and tail.isupper()):
         same = lambda c: bool(c) and c.isalpha() and _script(c) == _script(lead)
+        if page.latin and same(before) and after.isalpha() and after.islower():  # shouted words go on in capitals, if at all
+            return True
         if same(before) and (before.isupper() or not page.latin):
             return False
         if page.latin:
@@ -176,6 +178,9 @@ _EAST = re.compile("[ -鿿가-힣-
 _TRAILED = re.compile("[ -鿿가-힣-￼][ -鿿가-힣-￼\x21-\x7e\xa4-\xf7]*")
 
 
+_LATIN_LETTER = re.compile("[À-ÖØ-öø-ž]")
+
+
 def _longest_utf8(raw: bytes) -> tuple[int, int, str] | None:
     """The part of raw that is strict UTF-8, allowing cut characters at both ends: start, end, text."""
     for start in range(min(3, len(raw))):
@@ -224,6 +229,8 @@ def _one_east(piece: str, text: str, at: int, run: int) -> str | None:
         whole = start == 0 and end == len(raw)
         if high >= 5 and wide >= 3 and (end - start) >= 0.8 * len(raw) or whole and high >= 4 and wide >= 2:
             return (LOST if start else "") + new + (LOST if end < len(raw) else "")
+        if whole and high <= 3 and wide and all(_LATIN_LETTER.match(c) for c in new if c > "\x7f") and re.match("[A-Za-z]", text[at - 1 : at] or " "):
+            return new  # a letter of a word in Latin script
         if whole and wide and high <= 3:  # a few in a text of another script, such as an apostrophe
             near = text[max(0, at - 12) : at] + text[at + run : at + run + 12]
             if re.search("[A-Za-zÀ-ɏͰ-ԯ]", text[max(0, at - 1) : at] + new[-1:] + text[at + run : at + run + 1]) and not _EAST.search(near):
@@ -238,8 +245,8 @@ _WEST_SEGMENT = re.compile(f"[\x20-\x7e\t{_WEST_CLASS}]+")
 _THREE_HIGH = re.compile(f"[{_WEST_CLASS}]{{3}}")
 _LETTERS_3 = re.compile("[À-ÖØ-öø-ÿ¸¨][À-ÖØ-öø-ÿ¸¨]{2}")
 _SHIFT_JIS = re.compile("(?:[‚ƒ][\x40-\x7e\x80-\U0001ffff]){2}")
-_WIDE = ("cp1251", "cp1253", "iso8859_7", "koi8_r", "euc_jp", "gbk", "cp932", "big5", "euc_kr")
-_ALPHABETS = {"cp1251", "cp1253", "iso8859_7", "koi8_r"}
+_WIDE = ("cp1251", "cp1253", "iso8859_7", "koi8_r", "cp866", "euc_jp", "gbk", "cp932", "big5", "euc_kr")
+_ALPHABETS = {"cp1251", "cp1253", "iso8859_7", "koi8_r", "cp866"}
 _MIXED = re.compile("[A-Za-z][^\\W\\d_\x00-\x7f]|[^\\W\\d_\x00-\x7f][A-Za-z]")
 _MARK_RUN = re.compile("^[‘’“”…»«–—°·•€£¡¿!?\xa0]+$")
 
@@ -249,12 +256,14 @@ def _wide_cost(new: str, codec: str) -> float:
     high = [c for c in new if c > "\x7f"]
     if not high:
         return 1.0
-    if codec in ("cp1251", "koi8_r"):
+    if codec in ("cp1251", "koi8_r", "cp866"):
         good = sum("а" <= c <= "я" or "А" <= c <= "Я" or c in "ёЁ–—«»„“”’№°…" for c in high)
         bad = len(re.findall("[а-яё][А-ЯЁ]", new))
     elif codec in ("cp1253", "iso8859_7"):
         good = sum("Ά" <= c <= "ώ" or c in "–—«»“”’°…·" for c in high)
         bad = len(re.findall("[α-ωά-ώ][Α-Ω]", new))
+    elif codec in ("euc_jp", "gbk") and all("Ѐ" <= c <= "ӿ" for c in high):  # their Cyrillic rows
+        good, bad = len(high), len(re.findall("[а-яё][А-ЯЁ]", new))
     elif codec in ("euc_jp", "cp932"):
         good = sum("　" <= c <= "ヿ" or "一" <= c <= "鿿" or "！" <= c <= "～" for c in high)
         bad = 0.5 * len(high) if not re.search("[ぁ-ヾ]", new) else 0
@@ -313,6 +322,30 @@ def _decode_wide(text: str) -> tuple[str, int]:
     return (new, n) if n else (text, 0)
 
 
+#: A word of Western letters only, none of them ASCII.
+_ACCENTED_WORD = re.compile("(?<![A-Za-zÀ-ÖØ-öø-ÿ¸¨])[À-ÖØ-öø-ÿ¸¨]{2,}(?![A-Za-zÀ-ÖØ-öø-ÿ¸¨])")
+_CONTEXT = (("cp1251", re.compile("[А-яё]"), re.compile("[А-ЯЁ]?[а-яё]+")), ("cp1253", re.compile("[Ά-ώ]"), re.compile("[Ά-Ϋ]?[ά-ώ]+")))
+
+
+def _decode_words(text: str) -> tuple[str, int]:
+    """Single words in a text of another script that belong to that script once decoded."""
+    n = 0
+    for codec, script, word in _CONTEXT:
+        if len(script.findall(text)) < 20:
+            continue
+
+        def put(m: re.Match, codec: str = codec, word: re.Pattern = word) -> str:
+            nonlocal n
+            new = _strict_parts(bytes(_WEST[ord(c)] for c in m.group()), codec)
+            if new is None or not word.fullmatch(new):
+                return m.group()
+            n += 1
+            return new
+
+        text = _ACCENTED_WORD.sub(put, text)
+    return text, n
+
+
 def _spans(seg: str) -> list[tuple[int, int]]:
     """The whole segment, then the part from its first to its last high character, then its longest dense part."""
     high = [i for i, c in enumerate(seg) if c > "\x7f"]
@@ -331,45 +364,67 @@ def _spans(seg: str) -> list[tuple[int, int]]:
 
 #: What stands inside a word only when a letter was misread: a mark between letters, a capital between small letters.
 _ODD = re.compile(
-    "(?<=[A-Za-zß-öø-ÿ])[‡†ˆ‰‹›•™¢£¤¥¦§¨©ª¬®¯±²³¹¶¸»«¼½¾¿¡÷ƒ„‚˜“”](?=[A-Za-zß-öø-ÿ])"
+    "(?<=[A-Za-zß-öø-ÿ])[‡†ˆ‰‹›•™¢£¤¥¦§¨©ª¬®¯±²³¹¶¸»«¼½¾¿¡÷ƒ„‚˜“”](?=[A-Za-zß-öø-ÿ³±¹¶¿¼¾])"
     "|(?<=[a-zß-öø-ÿ])[À-ÖØ-ÞŠŒŽŸ](?=[a-zß-öø-ÿ])"
+    "|(?<=[A-Z])[ŠŽŸ](?=[a-z])"
     "|(?<![A-Za-zÀ-ÿ])[ÒÔ][A-Za-z][a-z ]*[ÓÕ](?![a-zà-ÿ])"
     "|(?<=[a-z])[‡ˆ‰‹›Ž](?![A-Za-z0-9‡ˆ‰‹›])"
+    "|(?<![0-9A-Za-zÀ-ÿ])³(?=[a-zó])"
+    "|(?<=I)Õ(?=(?:d|m|ll|ve) )"
+    "|(?<=[a-z]{3})ª(?![A-Za-z])|(?<=[a-z])³¹|(?<=[a-z])[±¶](?![A-Za-z0-9])"
+    "|(?<=[0-9] )Û(?![A-Za-z])|(?<=[a-zà-ÿ] )[ˆ](?= [a-zà-ÿ])"
     "|(?<= )Ð(?= )|(?<=[a-z] )Ñ(?= [A-Za-z])"
+    "|(?<=[a-zçöüâ])[ýðþ](?![áéíóúæ])|(?<![A-Za-zÀ-ÿ])Þ(?=[a-zý])(?![óo]rr?)"
 )
+#: A dash in or behind a word: a sign only in a text that has accented letters.
+_ODD_DASH = re.compile("(?<=[a-zà-ÿ])[—–](?=[a-zà-ÿ—–])|(?<=[a-zà-ÿ])—(?= [a-z])")
+_ACCENTED = re.compile("[à-öø-ÿ]")
 _NARROW = ("mac_roman", "cp1250", "iso8859_2", "cp437", "cp850", "cp1254")
 _NARROW_LETTERS = {
-    "mac_roman": set("áàâäãåéèêëíìîïóòôöõúùûüçñßÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑœŒæÆøØ–—‘’“”…°£€«»¿¡©®™"),
+    "mac_roman": set("áàâäãåéèêëíìîïóòôöõúùûüçñßÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑœŒæÆøØ–—‘’“”…°£€«»¿¡©®™ﬁﬂ"),
     "cp1250": set("ąćęłńóśźżĄĆĘŁŃÓŚŹŻáéíúůýčďěňřšťžÁÉÍÚÝČĎĚŇŘŠŤŽäöüßÄÖÜőűŐŰ–—‘’“”„…°€«»"),
     "iso8859_2": set("ąćęłńóśźżĄĆĘŁŃÓŚŹŻáéíúůýčďěňřšťžÁÉÍÚÝČĎĚŇŘŠŤŽäöüßÄÖÜőűŐŰ°\xa0"),
     "cp437": set("áàâäåéèêëíìîïóòôöúùûüçñßÄÅÉÖÜÇÑæÆ°£¿¡«»"),
     "cp850": set("áàâäãåéèêëíìîïóòôöõúùûüçñßÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑæÆøØ°£¿¡«»"),
-    "cp1254": set("ğşıİĞŞçöüÇÖÜâîû–—‘’“”…°€"),
+    "cp1254": set("ğşıİĞŞçöüÇÖÜâîû–—‘’“”…°€£§"),
 }
 
 
+def _odd(text: str, dashes: bool) -> int:
+    return len(_ODD.findall(text)) + (len(_ODD_DASH.findall(text)) if dashes else 0)
+
+
+def _one_narrow(seg: str, dashes: bool) -> str | None:
+    best, cost = None, _odd(seg, dashes) - 0.5
+    for codec in _NARROW:
+        raw = bytes(b if (b := ord(c)) < 0x80 else _WEST[b] for c in seg)
+        new = _strict_parts(raw, codec)
+        if new is None or not all(c in _NARROW_LETTERS[codec] for c in new if c > "\x7f"):
+            continue
+        if (c := _odd(new, dashes)) < cost:
+            best, cost = new, c
+    return best
+
+
+_WORD = re.compile("[^ \\n\\t]+")
+
+
 def _decode_narrow(text: str) -> tuple[str, int]:
-    """Lines of a Western text whose letters show as marks."""
-    n = 0
+    """Lines, or else single words, of a Western text whose letters show as marks or as letters of other languages."""
+    n, dashes = 0, bool(_ACCENTED.search(text))
 
     def put(m: re.Match) -> str:
         nonlocal n
         seg = m.group()
-        odd = len(_ODD.findall(seg))
-        if not odd:
+        if not _odd(seg, dashes):
             return seg
-        best, cost = None, odd - 0.5
-        for codec in _NARROW:
-            raw = bytes(b if (b := ord(c)) < 0x80 else _WEST[b] for c in seg)
-            new = _strict_parts(raw, codec)
-            if new is None or not all(c in _NARROW_LETTERS[codec] for c in new if c > "\x7f"):
-                continue
-            if (c := len(_ODD.findall(new))) < cost:
-                best, cost = new, c
-        if best is None:
+        new = _one_narrow(seg, dashes)
+        if new is None and m.re is _WEST_SEGMENT:
+            return _WORD.sub(put, seg)
+        if new is None:
             return seg
         n += 1
-        return best
+        return new
 
     new = _WEST_SEGMENT.sub(put, text)
     return (new, n) if n else (text, 0)
@@ -377,14 +432,18 @@ def _decode_narrow(text: str) -> tuple[str, int]:
 
 # ---------------------------------------------------------------- one Cyrillic encoding read as another
 _CYRILLIC = ("cp1251", "koi8_r", "cp866", "mac_cyrillic", "iso8859_5")
-_CYRILLIC_RUN = re.compile("[\u0400-\u0481][\u0400-\u0481\\s,.!?:;()0-9\x80-\xbf\u2010-\u2044\u20ac\u2116\u2122\u2500-\u257f-]{7,}")
+_CYRILLIC_RUN = re.compile("[\u0400-\u052f][\u0400-\u052f ,:;()0-9\x80-\xbf\u2010-\u2044\u20ac\u2116\u2122\u2500-\u257f-]{7,}")
+#: A word of letters and marks, as the common Cyrillic pages show each other's letters.
+_CYRILLIC_WORD = re.compile("[^\x00-\x7f]{3,}")
+_RUSSIAN_WORD = re.compile("[А-ЯЁа-яё]+")
+_CYRILLIC_LETTER = re.compile("[Ѐ-ԯ]")
 _TURN = re.compile("[а-яё][А-ЯЁ]")
 _INNER_CAPITAL = re.compile("(?<=[Ѐ-ҁ])[А-ЯЁ]")
 
 
 def _cyrillic_cost(text: str) -> float:
     """Letters that Russian uses little, capitals inside words, frames and marks between letters."""
-    odd = sum(c.lower() not in "оеаинтсрвлкмдпу" for c in text if "Ѐ" <= c <= "ҁ")
+    odd = sum(c.lower() not in "оеаинтсрвлкмдпу" for c in text if "Ѐ" <= c <= "ԯ")
     marks = sum("─" <= c <= "╿" or c in "¤¦§©¬®¶±†‡€‰‹›" for c in text)
     return odd + marks + 0.5 * len(_INNER_CAPITAL.findall(text)) + len(_TURN.findall(text))
 
@@ -395,7 +454,7 @@ def _decode_cyrillic(text: str) -> tuple[str, int]:
     def put(m: re.Match) -> str:
         nonlocal n
         run = m.group()
-        letters = sum("Ѐ" <= c <= "ҁ" for c in run)
+        letters = sum("Ѐ" <= c <= "ԯ" for c in run)
         old = _cyrillic_cost(run)
         if letters < 8 or old < 0.45 * letters:
             return run
@@ -407,7 +466,7 @@ def _decode_cyrillic(text: str) -> tuple[str, int]:
                 continue
             for right in _CYRILLIC:
                 new = _strict_parts(raw, right) if right != wrong else None
-                if new is None or sum("Ѐ" <= c <= "ҁ" for c in new) < 0.9 * letters:
+                if new is None or sum("Ѐ" <= c <= "ԯ" for c in new) < 0.9 * letters:
                     continue
                 if (c := _cyrillic_cost(new)) < cost:
                     best, cost = new, c
@@ -416,7 +475,27 @@ def _decode_cyrillic(text: str) -> tuple[str, int]:
         n += 1
         return best
 
+    def put_word(m: re.Match) -> str:
+        nonlocal n
+        word = m.group()
+        if _RUSSIAN_WORD.fullmatch(word) or not any("Ѐ" <= c <= "ԯ" for c in word):
+            return word
+        best, cost = None, 0.8 * (sum(not _RUSSIAN_WORD.fullmatch(c) for c in word) + _cyrillic_cost(word))
+        for wrong, right in (("cp1251", "cp866"), ("koi8_r", "cp866"), ("cp1251", "mac_cyrillic"), ("mac_cyrillic", "cp1251"), ("cp866", "cp1251")):
+            try:
+                new = _strict_parts(word.encode(wrong), right)
+            except UnicodeEncodeError:
+                continue
+            if new and _RUSSIAN_WORD.fullmatch(new) and not _TURN.search(new) and (c := _cyrillic_cost(new)) < cost:
+                best, cost = new, c
+        if best is None:
+            return word
+        n += 1
+        return best
+
     new = _CYRILLIC_RUN.sub(put, text)
+    if not n:
+        new = _CYRILLIC_WORD.sub(put_word, text)
     return (new, n) if n else (text, 0)
 
 
@@ -495,9 +574,11 @@ def repair(text: str | None) -> Repair:
             n += k
         if not n and (_THREE_HIGH.search(new) or _SHIFT_JIS.search(new)):
             new, n = _decode_wide(new)
-        if not n and _CYRILLIC_RUN.search(new):
+        if not n and _ACCENTED_WORD.search(new):
+            new, n = _decode_words(new)
+        if not n and _CYRILLIC_LETTER.search(new):
             new, n = _decode_cyrillic(new)
-        if not n and _ODD.search(new):
+        if not n and (_ODD.search(new) or _ODD_DASH.search(new)):
             new, n = _decode_narrow(new)
         if not n and _C1.search(new):
             fixed = _C1.sub(lambda m: _chars("cp1252")[ord(m.group()) - 0x80], new)
