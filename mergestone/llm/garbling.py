@@ -181,8 +181,14 @@ _TRAILED = re.compile("[ -鿿가-힣-￼][ -鿿가-힣-￼\x21-\x7e\xa
 _LATIN_LETTER = re.compile("[À-ÖØ-öø-ž]")
 
 
+#: Up to two bytes of a cut character, then whole ones: how UTF-8 begins.
+_UTF8_START = re.compile(rb"[\x80-\xbf]{0,2}(?:[\xe0-\xef][\x80-\xbf]{2}|[\xc2-\xdf][\x80-\xbf]|[\x00-\x7f]|[\xf0-\xf4][\x80-\xbf]{3}){0,12}")
+
+
 def _longest_utf8(raw: bytes) -> tuple[int, int, str] | None:
     """The part of raw that is strict UTF-8, allowing cut characters at both ends: start, end, text."""
+    if _UTF8_START.match(raw).end() < min(len(raw), 12) - 3:
+        return None
     for start in range(min(3, len(raw))):
         for end in range(len(raw), max(start, len(raw) - 4), -1):
             try:
@@ -376,6 +382,8 @@ _ODD = re.compile(
     "|(?<= )Ð(?= )|(?<=[a-z] )Ñ(?= [A-Za-z])"
     "|(?<=[a-zçöüâ])[ýðþ](?![áéíóúæ])|(?<![A-Za-zÀ-ÿ])Þ(?=[a-zý])(?![óo]rr?)"
 )
+#: Every character that _ODD and _ODD_DASH look for.
+_ODD_SIGN = re.compile("[‡†ˆ‰‹›•™¢£¤¥¦§¨©ª¬®¯±²³¹¶¸»«¼½¾¿¡÷ƒ„‚˜“”À-ÖØ-ÞŠŒŽŸýðþ—–]")
 #: A dash in or behind a word: a sign only in a text that has accented letters.
 _ODD_DASH = re.compile("(?<=[a-zà-ÿ])[—–](?=[a-zà-ÿ—–])|(?<=[a-zà-ÿ])—(?= [a-z])")
 _ACCENTED = re.compile("[à-öø-ÿ]")
@@ -578,7 +586,7 @@ def repair(text: str | None) -> Repair:
             new, n = _decode_words(new)
         if not n and _CYRILLIC_LETTER.search(new):
             new, n = _decode_cyrillic(new)
-        if not n and (_ODD.search(new) or _ODD_DASH.search(new)):
+        if not n and _ODD_SIGN.search(new) and (_ODD.search(new) or _ODD_DASH.search(new)):
             new, n = _decode_narrow(new)
         if not n and _C1.search(new):
             fixed = _C1.sub(lambda m: _chars("cp1252")[ord(m.group()) - 0x80], new)

@@ -13,7 +13,9 @@ from mergestone.llm.packing import fill_report, pack
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    """All documents. A table of fewer splits than the cluster has cores is spread over them; a larger one is read as it lies."""
+    docs, cores = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
