@@ -29,17 +29,22 @@ def open_fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def list_paths(folder: str, suffix: str) -> list[str]:
+#: A task reads files of so many bytes together, or so many files; a larger file is a task of its own.
+PART_BYTES, PART_FILES = 16 << 20, 256
+
+
+def list_files(folder: str, suffix: str) -> list[tuple[str, int]]:
+    """(path, size) of the files under a folder, by path; none if it is missing."""
     from pyarrow import fs
 
     where, inner = open_fs(folder)
     found = where.get_file_info(fs.FileSelector(inner, recursive=True, allow_not_found=True))
-    return sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(suffix))
+    return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(suffix))
 
 
 @dataclass
 class FilePart(InputPartition):
-    path: str
+    paths: list
 
 
 @dataclass
@@ -54,42 +59,46 @@ class _FileReader(DataSourceReader):
         self.folder = options["path"]
 
     def partitions(self) -> list[FilePart]:
-        return [FilePart(p) for p in list_paths(self.folder, self.suffix)]
+        parts, held = [], 0
+        for path, size in list_files(self.folder, self.suffix):
+            if not parts or held + size > PART_BYTES or len(parts[-1].paths) >= PART_FILES:
+                parts.append(FilePart([]))
+                held = 0
+            parts[-1].paths.append(path)
+            held += size
+        return parts
 
-    def _open(self, path: str):
+    def read(self, partition: FilePart) -> Iterator[tuple]:
+        if not isinstance(partition, FilePart):  # an empty list of parts becomes one without files
+            return
         where, _ = open_fs(self.folder)
-        return where.open_input_file(path)
+        for path in partition.paths:
+            with where.open_input_file(path) as f:
+                yield from self._rows(path, f)
 
 
 class _WalReader(_FileReader):
     suffix = ".log"
 
-    def read(self, partition: FilePart) -> Iterator[tuple]:
+    def _rows(self, path: str, f) -> Iterator[tuple]:
         import io
         import re
 
         from mergestone.sources.formats import read_log
 
-        if not isinstance(partition, FilePart):  # an empty list of parts becomes one without a file
-            return
-        number = re.search(r"wal-(\d+)\.log$", partition.path)
-        with self._open(partition.path) as f:
-            stream = io.BufferedReader(f, 1 << 20)
-            for offset, term, index, kind, key, value in read_log(stream):
-                yield partition.path, int(number[1]) if number else None, offset, term, index, kind, key, value
+        number = re.search(r"wal-(\d+)\.log$", path)
+        for offset, term, index, kind, key, value in read_log(io.BufferedReader(f, 1 << 20)):
+            yield path, int(number[1]) if number else None, offset, term, index, kind, key, value
 
 
 class _SstReader(_FileReader):
     suffix = ".sst"
 
-    def read(self, partition: FilePart) -> Iterator[tuple]:
+    def _rows(self, path: str, f) -> Iterator[tuple]:
         from mergestone.sources.formats import RunReader
 
-        if not isinstance(partition, FilePart):
-            return
-        with self._open(partition.path) as f:
-            for entry in RunReader(f).scan():
-                yield (partition.path, *entry)
+        for entry in RunReader(f).scan():
+            yield (path, *entry)
 
 
 class _FileWriter(DataSourceWriter):
