@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mergestone.session import materialize
+from mergestone.session import limit_batches, materialize
 
 #: A block is closed when it has so many bytes; a written file gets about FILE_BYTES of blocks.
 BLOCK_BYTES = 8 << 20
 FILE_BYTES = 32 << 20
+#: Records that a Python worker is sent at a time.
+BATCH_ROWS = 4_096
 
 MEMBER = T.StructType(
     [
@@ -163,6 +165,7 @@ def pack_archive(sst_info: DataFrame, sst_entry: DataFrame, block_bytes: int = B
     holds a third of all rows, or one huge file, is spread over as many tasks as its bytes need; a file that crosses a
     block's end has a member in each block. The number of written files follows from the bytes, not the input's files.
     """
+    limit_batches(sst_entry.sparkSession, BATCH_ROWS)
     order = ["store_id", "sst_level", "sst_id", "key_bytes", "ts"]
     size = sst_entry.agg(F.sum(F.coalesce(F.octet_length("key_bytes"), F.lit(0)) + F.coalesce(F.octet_length("value_bytes"), F.lit(0)) + 25).alias("b")).first()["b"] or 0
     record = F.when(F.col("owner"), encode_record()).otherwise(F.lit(b""))

@@ -61,6 +61,20 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def limit_batches(spark: SparkSession, rows: int) -> None:
+    """Lowers the session's rows in an Arrow batch to ``rows``; never raises it.
+
+    Spark cuts batches by rows only, so a batch of very long values could outgrow a Python worker. Plans read the setting when
+    they run, so it stays for the session.
+    """
+    now = int(spark.conf.get(ARROW_ROWS))
+    if now <= 0 or now > rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
 _shipped: set[str] = set()
 
 
