@@ -45,6 +45,8 @@ class _Page:
     name: str
     to_byte: dict[int, int]
     sequence: re.Pattern
+    #: A lead and a trail byte: cheap to look for, and in every sequence.
+    pair: re.Pattern
     latin: bool
 
 
@@ -66,7 +68,7 @@ def _page(codec: str) -> _Page:
     c = _class(cont)
     two, three, four = (_class(shown[a - 0x80 : z - 0x7F]) for a, z in ((0xC2, 0xDF), (0xE0, 0xEF), (0xF0, 0xF4)))
     latin = codec not in ("cp1251", "cp1253", "cp866", "koi8_r")
-    return _Page(codec, to_byte, re.compile(f"(?:{four}{c}{{3}}|{three}{c}{{2}}|{two}{c})+"), latin)
+    return _Page(codec, to_byte, re.compile(f"(?:{four}{c}{{3}}|{three}{c}{{2}}|{two}{c})+"), re.compile(_class(shown[0x42:0x75]) + c), latin)
 
 
 def _ranges(*pairs: tuple[int, int]) -> re.Pattern:
@@ -174,8 +176,9 @@ def _decode_sequences(text: str, page: _Page) -> tuple[str, int]:
 
 
 # ---------------------------------------------------------------- UTF-8 read as a double-byte code
-_EAST = re.compile("[ -鿿가-힣-￿]+")
-_TRAILED = re.compile("[ -鿿가-힣-￼][ -鿿가-힣-￼\x21-\x7e\xa4-\xf7]*")
+_CJK = "\u2e80-\u9fff\uac00-\ud7a3\ue000-\uf8ff\uf900-\ufaff\ufe30-\uff9f"
+_EAST = re.compile(f"[{_CJK}]+")
+_TRAILED = re.compile(f"[{_CJK}][{_CJK}\ufffd\u20ac\x21-\x7e\xa4-\xf7\u2010-\u203b\u0370-\u0451\u2190-\u266f]*")
 
 
 _LATIN_LETTER = re.compile("[À-ÖØ-öø-ž]")
@@ -369,23 +372,25 @@ def _spans(seg: str) -> list[tuple[int, int]]:
 
 
 #: What stands inside a word only when a letter was misread: a mark between letters, a capital between small letters.
+_MARKS = "‡†ˆ‰‹›•™¢£¤¥¦§¨©ª¬®¯±²³¹¶¸»«¼½¾¿¡÷ƒ„‚˜“”"
+#: Each pattern begins with the class of its signs, by which the search skips to them; what stands before them is looked at then.
 _ODD = re.compile(
-    "(?<=[A-Za-zß-öø-ÿ])[‡†ˆ‰‹›•™¢£¤¥¦§¨©ª¬®¯±²³¹¶¸»«¼½¾¿¡÷ƒ„‚˜“”](?=[A-Za-zß-öø-ÿ³±¹¶¿¼¾])"
-    "|(?<=[a-zß-öø-ÿ])[À-ÖØ-ÞŠŒŽŸ](?=[a-zß-öø-ÿ])"
-    "|(?<=[A-Z])[ŠŽŸ](?=[a-z])"
-    "|(?<![A-Za-zÀ-ÿ])[ÒÔ][A-Za-z][a-z ]*[ÓÕ](?![a-zà-ÿ])"
-    "|(?<=[a-z])[‡ˆ‰‹›Ž](?![A-Za-z0-9‡ˆ‰‹›])"
-    "|(?<![0-9A-Za-zÀ-ÿ])³(?=[a-zó])"
-    "|(?<=I)Õ(?=(?:d|m|ll|ve) )"
-    "|(?<=[a-z]{3})ª(?![A-Za-z])|(?<=[a-z])³¹|(?<=[a-z])[±¶](?![A-Za-z0-9])"
-    "|(?<=[0-9] )Û(?![A-Za-z])|(?<=[a-zà-ÿ] )[ˆ](?= [a-zà-ÿ])"
-    "|(?<= )Ð(?= )|(?<=[a-z] )Ñ(?= [A-Za-z])"
-    "|(?<=[a-zçöüâ])[ýðþ](?![áéíóúæ])|(?<![A-Za-zÀ-ÿ])Þ(?=[a-zý])(?![óo]rr?)"
+    f"[{_MARKS}À-ÖØ-ÞŠŒŽŸýðþ](?:"
+    f"(?<=[A-Za-zß-öø-ÿ][{_MARKS}])(?=[A-Za-zß-öø-ÿ³±¹¶¿¼¾])"
+    "|(?<=[a-zß-öø-ÿ][À-ÖØ-ÞŠŒŽŸ])(?=[a-zß-öø-ÿ])"
+    "|(?<=[A-Z][ŠŽŸ])(?=[a-z])"
+    "|(?<=[ÒÔ])(?<![A-Za-zÀ-ÿ][ÒÔ])(?=[A-Za-z][a-z ]*[ÓÕ](?![a-zà-ÿ]))"
+    "|(?<=[a-z][‡ˆ‰‹›Ž])(?![A-Za-z0-9‡ˆ‰‹›])"
+    "|(?<=³)(?<![0-9A-Za-zÀ-ÿ]³)(?=[a-zó])"
+    "|(?<=IÕ)(?=(?:d|m|ll|ve) )"
+    "|(?<=[a-z][a-z][a-z]ª)(?![A-Za-z])|(?<=[a-z]³)(?=¹)|(?<=[a-z][±¶])(?![A-Za-z0-9])"
+    "|(?<=[0-9] Û)(?![A-Za-z])|(?<=[a-zà-ÿ] ˆ)(?= [a-zà-ÿ])"
+    "|(?<= Ð)(?= )|(?<=[a-z] Ñ)(?= [A-Za-z])"
+    "|(?<=[a-zçöüâ][ýðþ])(?![áéíóúæ])|(?<=Þ)(?<![A-Za-zÀ-ÿ]Þ)(?=[a-zý])(?![óo]rr?)"
+    ")"
 )
-#: Every character that _ODD and _ODD_DASH look for.
-_ODD_SIGN = re.compile("[‡†ˆ‰‹›•™¢£¤¥¦§¨©ª¬®¯±²³¹¶¸»«¼½¾¿¡÷ƒ„‚˜“”À-ÖØ-ÞŠŒŽŸýðþ—–]")
 #: A dash in or behind a word: a sign only in a text that has accented letters.
-_ODD_DASH = re.compile("(?<=[a-zà-ÿ])[—–](?=[a-zà-ÿ—–])|(?<=[a-zà-ÿ])—(?= [a-z])")
+_ODD_DASH = re.compile("[—–](?:(?<=[a-zà-ÿ][—–])(?=[a-zà-ÿ—–])|(?<=[a-zà-ÿ]—)(?= [a-z]))")
 _ACCENTED = re.compile("[à-öø-ÿ]")
 _NARROW = ("mac_roman", "cp1250", "iso8859_2", "cp437", "cp850", "cp1254")
 _NARROW_LETTERS = {
@@ -537,7 +542,7 @@ def _suspect() -> re.Pattern:
 
 def _by_length(text: str) -> list[_Page]:
     """The code pages whose sequences occur, those that explain most characters first."""
-    found = [(-sum(m.end() - m.start() for m in page.sequence.finditer(text)), i, page) for i, page in enumerate(map(_page, SINGLE_BYTE))]
+    found = [(-sum(m.end() - m.start() for m in page.sequence.finditer(text)), i, page) for i, page in enumerate(map(_page, SINGLE_BYTE)) if page.pair.search(text)]
     return [page for covered, _, page in sorted(found, key=lambda x: x[:2]) if covered]
 
 
@@ -586,7 +591,7 @@ def repair(text: str | None) -> Repair:
             new, n = _decode_words(new)
         if not n and _CYRILLIC_LETTER.search(new):
             new, n = _decode_cyrillic(new)
-        if not n and _ODD_SIGN.search(new) and (_ODD.search(new) or _ODD_DASH.search(new)):
+        if not n and (_ODD.search(new) or _ODD_DASH.search(new)):
             new, n = _decode_narrow(new)
         if not n and _C1.search(new):
             fixed = _C1.sub(lambda m: _chars("cp1252")[ord(m.group()) - 0x80], new)
