@@ -63,7 +63,7 @@ def chunk_pieces(docs: DataFrame, chunk: int = CHUNK_CHARS, overlap: int = OVERL
     n = F.length("text")
     starts = docs.select("row_id", "doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1), F.lit(chunk))).alias("start"))
     chunks = starts.select("row_id", "doc_id", (F.col("start") / chunk).cast("int").alias("piece"), F.col("start").cast("long").alias("start"), (F.col("start") + chunk).cast("long").alias("stop"), F.expr(f"substring(text, start + 1, {chunk + overlap})").alias("text"))
-    seen = chunks.repartition("row_id", "piece").mapInArrow(_boundaries(overlap), "row_id long, doc_id long, piece int, start long, stop long, text string, head array<long>, tail array<long>")
+    seen = chunks.repartition("row_id", "piece").mapInArrow(_boundaries(overlap), "row_id string, doc_id long, piece int, start long, stop long, text string, head array<long>, tail array<long>")
     by = Window.partitionBy("row_id").orderBy("piece")
     sync = seen.withColumn("begin", F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect(F.lag("tail").over(by), "head"))))
     sync = sync.withColumn("end", F.lead("begin").over(by)).withColumn("last", F.lead("piece").over(by).isNull())
@@ -90,9 +90,13 @@ def encode_documents(df: DataFrame, id_column: str = "doc_id", text_column: str
     docs = _whole(df, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     long = F.length("text") > chunk
     short = docs.where(F.col("text").isNull() | ~long).mapInArrow(_encoder(vocabulary, ("doc_id",)), "doc_id long, ids array<int>")
-    numbered = docs.where(long).withColumn("row_id", F.monotonically_increasing_id())
-    pieces = chunk_pieces(numbered, chunk, overlap).mapInArrow(_encoder(vocabulary, ("row_id", "doc_id", "piece")), "row_id long, doc_id long, piece int, ids array<int>")
-    joined = pieces.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("p")).select("doc_id", F.flatten("p.ids").alias("ids"))
+    # the same key in every attempt of a task; equal rows are one text, counted
+    copies = docs.where(long).groupBy("doc_id", "text").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    keyed = copies.withColumn("row_id", F.concat_ws("/", F.md5("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copies").cast("string")))
+    pieces = chunk_pieces(keyed, chunk, overlap).mapInArrow(_encoder(vocabulary, ("row_id", "doc_id", "piece")), "row_id string, doc_id long, piece int, ids array<int>")
+    joined = pieces.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("p"))
+    times = F.explode(F.sequence(F.lit(1), F.element_at(F.split("row_id", "/"), 3).cast("int")))
+    joined = joined.select("doc_id", F.flatten("p.ids").alias("ids"), times.alias("copy")).drop("copy")
     return short.unionByName(joined)
 
 

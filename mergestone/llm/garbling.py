@@ -461,8 +461,34 @@ def _cyrillic_cost(text: str) -> float:
     return odd + marks + 0.5 * len(_INNER_CAPITAL.findall(text)) + len(_TURN.findall(text))
 
 
+#: Capitals only, or capitals behind a small letter: how KOI8 shows small letters, and a capital one before them, as cp1251.
+_SHOUTED_WORD = re.compile("[А-ЯЁЈ]{4,}|[а-яё][А-ЯЁЈ]{2,}")
+_SMALL = re.compile("[а-яё]")
+_CAPITAL = re.compile("[А-ЯЁ]")
+
+
+def _vowels(word: str) -> float:
+    return sum(c in "аеёиоуыэюя" for c in word.lower()) / len(word)
+
+
+def _calm(word: str) -> str | None:
+    """A shouted word read as KOI8, if that has the vowels and the common letters that the word itself lacks."""
+    try:
+        new = word.encode("cp1251").decode("koi8_r")
+    except UnicodeError:
+        return None
+    if not re.fullmatch("[А-ЯЁ]?[а-яё]+", new):
+        return None
+    share = lambda w: sum(c not in "оеаинтсрвлкмдпу" for c in w.lower()) / len(w)
+    if share(new) > 0.4 or _vowels(new) < 0.3:
+        return None
+    # a small letter before capitals is odd by itself
+    return new if word[0].islower() or share(new) < share(word) and _vowels(word) < 0.3 else None
+
+
 def _decode_cyrillic(text: str) -> tuple[str, int]:
     n = 0
+    mostly_small = len(_SMALL.findall(text)) >= max(20, 2 * len(_CAPITAL.findall(text)))
 
     def put(m: re.Match) -> str:
         nonlocal n
@@ -491,7 +517,13 @@ def _decode_cyrillic(text: str) -> tuple[str, int]:
     def put_word(m: re.Match) -> str:
         nonlocal n
         word = m.group()
-        if _RUSSIAN_WORD.fullmatch(word) or not any("Ѐ" <= c <= "ԯ" for c in word):
+        if not any("Ѐ" <= c <= "ԯ" for c in word):
+            return word
+        if _SHOUTED_WORD.fullmatch(word):
+            new = _calm(word) if mostly_small else None
+            n += new is not None
+            return new or word
+        if _RUSSIAN_WORD.fullmatch(word):
             return word
         best, cost = None, 0.8 * (sum(not _RUSSIAN_WORD.fullmatch(c) for c in word) + _cyrillic_cost(word))
         for wrong, right in (("cp1251", "cp866"), ("koi8_r", "cp866"), ("cp1251", "mac_cyrillic"), ("mac_cyrillic", "cp1251"), ("cp866", "cp1251")):

@@ -45,6 +45,8 @@ def test_any_chunk_size(spark, chunk, overlap):
 def test_repeated_and_null_ids_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "a b", 9, "q"), (1, "c", 8, "q"), (None, "d" * 500, 7, "q"), (None, "e " * 200, 7, None)], "doc_id long, text string, ids int, piece string")
     got = sorted((r.doc_id or 0, r.ids) for r in encode_documents(df, chunk=64, overlap=16).collect())
+    twice = frame(spark, [(1, "long " * 90), (1, "long " * 90), (1, "long " * 91)])
+    assert sorted(r.ids for r in encode_documents(twice, chunk=64, overlap=16).collect()) == sorted([whole("long " * 90)] * 2 + [whole("long " * 91)])
     assert got == sorted([(1, whole("a b")), (1, whole("c")), (0, whole("d" * 500)), (0, whole("e " * 200))])
 
 
