@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergestone.operators.log_records import valid_records
+from mergestone.operators.log_records import micros, valid_records
 from mergestone.sources import files
 
 RECORDS = "store_id int, log_index long, term long, op_type tinyint, key_bytes binary, value_bytes binary, arrived_us long"
@@ -106,7 +106,7 @@ def marks_in_force(wal_meta: DataFrame) -> DataFrame:
     Repeated rows are one; of differing rows with the same save_seq the greater mark counts, then the later one.
     """
     good = wal_meta.where(F.col("committed") & F.col("truncated_before").isNotNull() & F.col("store_id").isNotNull())
-    best = good.groupBy("store_id").agg(F.max(F.struct("save_seq", "truncated_before", F.unix_micros(F.col("saved_at").cast("timestamp")).alias("saved_us"))).alias("m"))
+    best = good.groupBy("store_id").agg(F.max(F.struct("save_seq", "truncated_before", micros("saved_at").alias("saved_us"))).alias("m"))
     return best.select("store_id", "m.truncated_before", "m.saved_us")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergestone.schemas import DELETE, PUT
@@ -13,6 +13,11 @@ def counting_records(wal_entry: DataFrame) -> DataFrame:
     return wal_entry.where(F.col("op_type").isin(PUT, DELETE) & F.col("key_bytes").isNotNull() & F.col("store_id").isNotNull() & F.col("log_index").isNotNull()).withColumn("term", F.coalesce("term", F.lit(0).cast("long")))
 
 
+def micros(column: str) -> Column:
+    """A time column as microseconds since 1970 on its own clock, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(column).cast("timestamp_ntz"))
+
+
 def valid_records(wal_entry: DataFrame, arrival: bool = False) -> DataFrame:
     """One row for each (store_id, log_index): the counting record of the greatest term, whatever its copies' number and order.
 
@@ -23,6 +28,6 @@ def valid_records(wal_entry: DataFrame, arrival: bool = False) -> DataFrame:
     """
     rows = counting_records(wal_entry)
     record = ["op_type", "key_bytes", "value_bytes"]
-    early = [(-F.unix_micros(F.col("arrived_at").cast("timestamp"))).alias("early")] if arrival else []
+    early = [(-micros("arrived_at")).alias("early")] if arrival else []
     best = rows.select("store_id", "log_index", F.struct("term", *early, *record).alias("r")).groupBy("store_id", "log_index").agg(F.max("r").alias("r"))
     return best.select("store_id", "log_index", "r.term", *[f"r.{c}" for c in record], *([(-F.col("r.early")).alias("arrived_us")] if arrival else []))

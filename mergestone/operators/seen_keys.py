@@ -120,12 +120,13 @@ def error_rate(known: DataFrame, incoming: DataFrame, order: str, key: str = "ke
     the real records with new keys and those of them that needed the exact check.
     """
     seen = seen_keys(known, incoming, order, key, target=target, absent_probes=True, **options)
-    absent = F.col("kind") == _ABSENT
-    probes = seen.verdicts.where(absent).agg(F.count(F.lit(1)).alias("probes"), F.coalesce(F.sum(F.col("maybe").cast("long")), F.lit(0)).alias("false_positives"))
-    real = seen.verdicts.where(~absent).join(seen.fresh, ["at", "key_bytes"], "left_semi")
-    real = real.agg(F.count(F.lit(1)).alias("unseen_first_records"), F.coalesce(F.sum(F.col("maybe").cast("long")), F.lit(0)).alias("wrong_first_records"))
-    one = F.lit(1).alias("one")
-    return probes.select("*", one).join(real.select("*", one), "one").select(
+    absent, real = seen.verdicts.where(F.col("kind") == _ABSENT), seen.verdicts.where(F.col("kind") == _INCOMING)
+    judged = absent.select("kind", "maybe").unionByName(real.join(seen.fresh, ["at", "key_bytes"], "left_semi").select("kind", "maybe"))
+    count = lambda kind, wrong: F.count(F.when((F.col("kind") == kind) & (F.col("maybe") if wrong else F.lit(True)), 1))
+    counts = judged.agg(
+        count(_ABSENT, False).alias("probes"), count(_ABSENT, True).alias("false_positives"), count(_INCOMING, False).alias("unseen_first_records"), count(_INCOMING, True).alias("wrong_first_records")
+    )
+    return counts.select(
         "probes", "false_positives", (F.col("false_positives") / F.greatest(F.col("probes"), F.lit(1))).alias("measured_rate"), F.lit(target).alias("target_rate"),
         "unseen_first_records", "wrong_first_records", F.lit(seen.keys).cast("long").alias("rows_in_filters"), F.lit(seen.buckets).alias("buckets"), F.lit(seen.geometry.bytes * seen.buckets).cast("long").alias("filter_bytes"),
     )

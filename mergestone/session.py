@@ -40,9 +40,22 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_root(spark)}/mergestone/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/mergestone/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this process wrote to the shared folder. Frames that read it must not be used any more."""
+    from mergestone.sources.files import delete
+
+    while _written:
+        delete(spark, _written.pop())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

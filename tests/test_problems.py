@@ -271,6 +271,18 @@ def test_changed_bytes_under_the_same_name_are_new(spark, tmp_path):
     assert listed()["checksum"] == hashlib.md5(b"abd" * 500_000).hexdigest()
 
 
+def test_release_deletes_what_was_written(spark, tmp_path):
+    from mergestone import session
+
+    kept, session._written[:] = session._written[:], []
+    table = session.materialize(spark.range(3), "release-test")
+    path = session._written[0]
+    assert table.count() == 3 and files.exists(spark, path)
+    session.release(spark)
+    assert not files.exists(spark, path) and session._written == []
+    session._written[:] = kept
+
+
 def test_marks(spark, tmp_path):
     source = str(tmp_path / "in")
     write(spark, [record(s, i, minute=i) for s in (1, 2, 3) for i in range(1, 6)] + [record(1, 2, minute=50), record(1, 1, minute=59), record(1, 1, term=9, minute=58)], source)
