@@ -375,7 +375,7 @@ def _spans(seg: str) -> list[tuple[int, int]]:
 _MARKS = "‡†ˆ‰‹›•™¢£¤¥¦§¨©ª¬®¯±²³¹¶¸»«¼½¾¿¡÷ƒ„‚˜“”"
 #: Each pattern begins with the class of its signs, by which the search skips to them; what stands before them is looked at then.
 _ODD = re.compile(
-    f"[{_MARKS}À-ÖØ-ÞŠŒŽŸýðþ](?:"
+    f"[{_MARKS}À-ÖØ-ÞŠŒŽŸýðþœ](?:"
     f"(?<=[A-Za-zß-öø-ÿ][{_MARKS}])(?=[A-Za-zß-öø-ÿ³±¹¶¿¼¾])"
     "|(?<=[a-zß-öø-ÿ][À-ÖØ-ÞŠŒŽŸ])(?=[a-zß-öø-ÿ])"
     "|(?<=[A-Z][ŠŽŸ])(?=[a-z])"
@@ -384,6 +384,7 @@ _ODD = re.compile(
     "|(?<=³)(?<![0-9A-Za-zÀ-ÿ]³)(?=[a-zó])"
     "|(?<=IÕ)(?=(?:d|m|ll|ve) )"
     "|(?<=[a-z][a-z][a-z]ª)(?![A-Za-z])|(?<=[a-z]³)(?=¹)|(?<=[a-z][±¶])(?![A-Za-z0-9])"
+    "|(?<=[a-z]œ)(?=[bcdgkmnpwz])"
     "|(?<=[0-9] Û)(?![A-Za-z])|(?<=[a-zà-ÿ] ˆ)(?= [a-zà-ÿ])"
     "|(?<= Ð)(?= )|(?<=[a-z] Ñ)(?= [A-Za-z])"
     "|(?<=[a-zçöüâ][ýðþ])(?![áéíóúæ])|(?<=Þ)(?<![A-Za-zÀ-ÿ]Þ)(?=[a-zý])(?![óo]rr?)"
@@ -429,6 +430,9 @@ def _decode_narrow(text: str) -> tuple[str, int]:
     def put(m: re.Match) -> str:
         nonlocal n
         seg = m.group()
+        if seg == "ˆ" and m.re is _WORD and dashes:  # à as Mac Roman shows it
+            n += 1
+            return "à"
         if not _odd(seg, dashes):
             return seg
         new = _one_narrow(seg, dashes)
