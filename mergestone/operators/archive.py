@@ -37,7 +37,7 @@ BLOCK = T.StructType(
     ]
 )
 
-_NUMBER = r"(?is)(?:^|[/\\])([0-9]+)\.sst[\s\p{Z}]*$"
+_NUMBER = r"(?is)(?:^|[/\\])[\s\p{Z}]*([0-9]+)\.sst[\s\p{Z}]*$"
 _LEVEL = r"(?is)(?:^|[/\\])l([0-9]+)[/\\][^/\\]*$"
 
 
