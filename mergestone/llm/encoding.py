@@ -8,13 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergestone.llm.tokens import VOCABULARY, encode_batch, safe_boundaries
-from mergestone.session import limit_batches
 
 #: Texts of more characters than this are cut into chunks of so many, each going on OVERLAP characters into the next.
 CHUNK_CHARS = 8_192
 OVERLAP = 512
-#: Texts that a Python worker is sent at a time.
-BATCH_TEXTS = 1_000
 
 
 def _whole(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -86,7 +83,6 @@ def encode_documents(df: DataFrame, id_column: str = "doc_id", text_column: str
     Texts of up to ``chunk`` characters are encoded where they are read, without a shuffle; the chunks of longer ones are
     spread over all tasks (see chunk_pieces) and only they are shuffled. Equal to encoding each text whole.
     """
-    limit_batches(df.sparkSession, BATCH_TEXTS)
     docs = _whole(df, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     long = F.length("text") > chunk
     short = docs.where(F.col("text").isNull() | ~long).mapInArrow(_encoder(vocabulary, ("doc_id",)), "doc_id long, ids array<int>")

@@ -8,10 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergestone.llm.garbling import repair
-from mergestone.session import limit_batches
 
-#: Texts that a Python worker is sent at a time.
-BATCH_TEXTS = 1_000
 REPAIRED = "doc_id long, text string, repaired string, found boolean, lost boolean, layers int"
 
 
@@ -35,7 +32,6 @@ def repair_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     Whole texts go to Python in Arrow batches; those of plain ASCII return at once.
     """
-    limit_batches(df.sparkSession, BATCH_TEXTS)
     docs = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return docs.mapInArrow(_repair, REPAIRED)
 
