@@ -26,7 +26,7 @@ class StorageConfig:
     sst_dir: str
     memtable_bytes: int = MEMTABLE_BYTES
     wal_segment_bytes: int = WAL_SEGMENT_BYTES
-    #: A batch is durable once its files are committed; there is no sync for each record.
+    #: Whether the commit of a batch waits until it is on disk; there is no sync for each record.
     sync_writes: bool = True
 
     def ensure_dirs(self, spark: SparkSession) -> None:

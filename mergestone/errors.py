@@ -15,3 +15,11 @@ class KeyTooLong(StorageError):
 
 class CorruptFile(StorageError):
     """A file that isn't what its name promises."""
+
+
+class ConcurrentUpdate(StorageError):
+    """Another writer was first; what was read is no longer the newest."""
+
+
+class NoSharedFolder(StorageError):
+    """A cluster without a folder that all its executors share."""

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergestone.operators import archive, change_feed, copy_diff, hot_keys, incremental, seen_keys
+from mergestone.operators.log_records import micros
 from mergestone.session import shared_path
+from mergestone.sources import files
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -70,16 +72,74 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return change_feed.live(state, F.col("store_id").cast("long").alias("store_id"), _hex("key_bytes"), F.col("seq").alias("log_index"))
 
 
+def p5_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The cases of p5_found after five calls that find each other's published state."""
+    state = change_feed.state_in_batches(_read(spark, sf, "wal_entry"), _read(spark, sf, "sst_entry"))
+    return change_feed.live(state, F.col("store_id").cast("long").alias("store_id"), _hex("key_bytes"), F.col("seq").alias("log_index"))
+
+
 # 6 -------------------------------------------------------------------------------------------------
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The records due after a first run; a second one must find all files in the manifest."""
     log = incremental.IncrementalLog(spark, shared_path(spark, "incremental"))
     log.run(f"{sf}/wal_entry.parquet")
+    if log.run(f"{sf}/wal_entry.parquet"):
+        raise RuntimeError("a file was taken in twice")
+    return _due(spark, sf, log)
+
+
+def _due(spark: SparkSession, sf: str, log: incremental.IncrementalLog) -> DataFrame:
     due = incremental.due_records(log.records(), _read(spark, sf, "wal_meta"))
     return due.select(F.col("store_id").cast("long").alias("store_id"), "log_index")
 
 
+def _after_three_runs(spark: SparkSession, sf: str) -> incremental.IncrementalLog:
+    """A log whose rows arrive in three shares, by the microsecond of arrival, as files of a folder.
+
+    The first run meets the first share and, under a name of the third, rows that never were; it fails before its commit and is
+    repeated. The second meets the second share. The third meets the third share where the wrong rows were.
+    """
+    wal, folder = _read(spark, sf, "wal_entry"), shared_path(spark, "incremental-input")
+    log = incremental.IncrementalLog(spark, shared_path(spark, "incremental"))
+    share = F.pmod(micros("arrived_at"), F.lit(3))
+
+    def put(rows: DataFrame, name: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}-{name}")
+        files.make_dirs(spark, folder)
+        parts = [n for n in files.children(spark, f"{folder}-{name}") if n.endswith(".parquet")]
+        for i, n in enumerate(parts):
+            files.delete(spark, f"{folder}/{name}-{i:06d}.parquet")
+            files.rename(spark, f"{folder}-{name}/{n}", f"{folder}/{name}-{i:06d}.parquet")
+        files.delete(spark, f"{folder}-{name}")
+
+    put(wal.where(share == 0), "a")
+    put(wal.where(share == 1).withColumns({"log_index": -F.col("log_index"), "term": F.lit(1 << 40).cast("long")}), "c")
+    try:
+        log.run(folder, fail_before_commit=True)
+    except RuntimeError:
+        pass
+    log.run(folder)
+    put(wal.where(share == 1), "b")
+    log.run(folder, batch_files=2)
+    put(wal.where(share == 2), "c")
+    log.run(folder)
+    return log
+
+
+def p6_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The cases of p6_found, taken in by several runs: one failed, some files new and some rewritten between them."""
+    return _due(spark, sf, _after_three_runs(spark, sf))
+
+
+def p6_added(spark: SparkSession, sf: str) -> DataFrame:
+    """What the last run added or changed: of records that three shares of the log give, those that two of them don't."""
+    log = _after_three_runs(spark, sf)
+    added = log.added(len(log.batches()) - 1)
+    return added.select(F.col("store_id").cast("long").alias("store_id"), "log_index", "term", F.col("op_type").cast("int").alias("op_type"), _hex("key_bytes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_error_rate, p2_found, p2_files, p2_records, p3_found, p3_per_key, p4_found, p5_found, p6_found)
+    f.__name__: f for f in (p1_found, p1_error_rate, p2_found, p2_files, p2_records, p3_found, p3_per_key, p4_found, p5_found, p5_batches, p6_found, p6_runs, p6_added)
 }
 
 _LISTED = """
@@ -147,3 +207,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT CAST(v.store_id AS BIGINT) AS store_id, v.log_index FROM valid v LEFT JOIN marks m ON v.store_id = m.store_id
         WHERE m.store_id IS NULL OR v.log_index > m.truncated_before OR v.first_arrival > m.saved_at""",
 }
+ORACLE_SQL["p5_batches"] = ORACLE_SQL["p5_found"]
+ORACLE_SQL["p6_runs"] = ORACLE_SQL["p6_found"]
+_TAKEN = """SELECT store_id, log_index, coalesce(term, 0) AS term, op_type, key_bytes, value_bytes FROM wal_entry WHERE op_type IN (1, 2) AND key_bytes IS NOT NULL AND {}
+  QUALIFY row_number() OVER (PARTITION BY store_id, log_index ORDER BY coalesce(term, 0) DESC, arrived_at, op_type DESC) = 1"""
+ORACLE_SQL["p6_added"] = f"""
+    WITH before AS ({_TAKEN.format("epoch_us(arrived_at) % 3 < 2")}), after AS ({_TAKEN.format("true")})
+    SELECT CAST(a.store_id AS BIGINT) AS store_id, a.log_index, a.term, CAST(a.op_type AS INTEGER) AS op_type, lower(hex(a.key_bytes)) AS key_hex
+    FROM after a WHERE NOT EXISTS (SELECT 1 FROM before b WHERE b.store_id = a.store_id AND b.log_index = a.log_index AND b.term = a.term AND b.op_type = a.op_type
+      AND b.key_bytes = a.key_bytes AND b.value_bytes IS NOT DISTINCT FROM a.value_bytes)"""

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mergestone.errors import NoSharedFolder
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -23,6 +29,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.python.filterPushdown.enabled": "true",
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -32,9 +39,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (a local session) a temporary one is set."""
+    """The folder named in ``spark.checkpoint.dir``. Where it is unset, a local session gets a temporary one; a cluster is an error, as
+    its executors would each write to a disk of their own."""
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise NoSharedFolder(f"set {CHECKPOINT_DIR} to a folder that all executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="mergestone-")
         spark.conf.set(CHECKPOINT_DIR, root)
     return root.rstrip("/")
@@ -50,14 +61,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what this process wrote to the shared folder. Frames that read it must not be used any more."""
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what this process wrote to the shared folder (after the first ``since`` paths). Frames that read it must not be used any more."""
     from mergestone.sources.files import delete
 
-    while _written:
+    while len(_written) > since:
         delete(spark, _written.pop())
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written to the shared folder inside the block is deleted at its end, so results must be written or collected in it."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
@@ -74,18 +95,29 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of input, as the optimizer estimates them, for each task behind a shuffle.
+TASK_BYTES = 128 << 20
+#: More tasks than this cost the driver more than they save.
+MOST_TASKS = 100_000
 
 
-def limit_batches(spark: SparkSession, rows: int) -> None:
-    """Lowers the session's rows in an Arrow batch to ``rows``; never raises it.
+def tasks_for(*frames: DataFrame) -> int:
+    """Tasks for a shuffle of these frames: the session's number, more where their estimated size asks for it. Runs no job."""
+    size = sum(int(str(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for f in frames)
+    return max(parallelism(frames[0].sparkSession), min(MOST_TASKS, math.ceil(size / TASK_BYTES)))
 
-    Spark cuts batches by rows only, so a batch of very long values could outgrow a Python worker. Plans read the setting when
-    they run, so it stays for the session.
-    """
-    now = int(spark.conf.get(ARROW_ROWS))
-    if now <= 0 or now > rows:
-        spark.conf.set(ARROW_ROWS, str(rows))
+
+@contextmanager
+def shuffle_tasks(spark: SparkSession, tasks: int) -> Iterator[None]:
+    """Plans that start in the block shuffle into so many tasks. It makes room for aggregations that combine before the shuffle,
+    which an explicit repartitioning would forgo."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(tasks))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 _shipped: set[str] = set()

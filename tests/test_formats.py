@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mergestone.errors import CorruptFile, KeyTooLong
+from mergestone.errors import ConcurrentUpdate, CorruptFile, KeyTooLong
 from mergestone.functions import layout
 from mergestone.operators import log
 from mergestone.sources.formats import KeyFilter, RunReader, encode_log_record, read_log, write_run
@@ -147,8 +147,11 @@ def test_manifest(spark, tmp_path):
     assert [r["path"] for r in again.runs] == ["L0/000002.sst", "L1/000003.sst"] and again.allocate() == 3
     assert again.remove("L0/000002.sst") and not again.remove("L0/000002.sst")
     assert [r.path for r in Manifest(spark, str(tmp_path)).frame().collect()] == ["L1/000003.sst"]
-    (tmp_path / "manifest.json").write_text("{")
-    for p in tmp_path.glob(".*.crc"):
-        p.unlink()
+    with pytest.raises(ConcurrentUpdate):
+        m.swap([{"path": "L1/000009.sst", "level": 1}], ["L0/000001.sst"])  # gone by another handle
+    m.swap([], [], flushed=7)
+    with pytest.raises(ConcurrentUpdate):
+        again.swap([], [], flushed=7)
+    max((tmp_path / "manifest").glob("*.json")).write_text("{")
     with pytest.raises(CorruptFile):
         Manifest(spark, str(tmp_path))

@@ -193,9 +193,13 @@ def test_differences(spark):
 CHANGE = "store_id int, key_bytes binary, value_bytes binary, deleted boolean, seq long, h string"
 
 
-@pytest.mark.parametrize("bucket_rows", [5, 10**6])
-def test_changes_in_any_order(spark, bucket_rows):
-    rng = random.Random(bucket_rows)
+def state_rows(state):
+    return {(r.store_id, bytes(r.key_bytes)): (r.seq, r.deleted, None if r.value_bytes is None else bytes(r.value_bytes)) for r in state.collect()}
+
+
+@pytest.mark.parametrize("bucket_bytes,calls", [(1, 1), (300, 4), (10**6, 3)])
+def test_changes_in_any_order_over_any_calls(spark, bucket_bytes, calls):
+    rng = random.Random(bucket_bytes)
     changes = [(rng.randrange(3), rng.choice([b"hot", b"", some_bytes(rng, 2)]), rng.choice([None, b"", some_bytes(rng)]), rng.random() < 0.4, i, "x") for i in range(600)]
     want = {}
     for s, k, v, d, i, _ in changes:
@@ -203,17 +207,60 @@ def test_changes_in_any_order(spark, bucket_rows):
     dirty = changes + rng.sample(changes, 200) + [(None, b"a", b"", False, 1, ""), (1, None, b"", False, 1, ""), (1, b"zz", b"", False, None, "")]
     rng.shuffle(dirty)
     root = shared_path(spark, "state-test")
-    state = change_feed.apply_changes(spark.createDataFrame(dirty, CHANGE), root, len(dirty), bucket_rows)
-    got = {(r.store_id, bytes(r.key_bytes)): (r.seq, r.deleted, None if r.value_bytes is None else bytes(r.value_bytes)) for r in state.collect()}
-    assert got == want
+    for call in range(calls):
+        state = change_feed.apply_changes(spark.createDataFrame(dirty[call::calls], CHANGE), root, bucket_bytes=bucket_bytes)
+    assert state_rows(state) == want
     assert change_feed.live(state).count() == sum(not d for _, d, _ in want.values())
-    again = change_feed.apply_changes(spark.createDataFrame([(9, b"n", b"v", None, 1, ""), (9, b"n", b"w", True, 1, ""), (9, b"n", b"x", False, 1, "")], CHANGE), root, 3)
-    assert [(r.store_id, r.deleted) for r in again.collect()] == [(9, True)]
-    assert files.read_json(spark, f"{root}/current.json")["version"] == 2
+    again = change_feed.apply_changes(spark.createDataFrame([(9, b"n", b"v", None, 1, ""), (9, b"n", b"w", True, 1, ""), (9, b"n", b"x", False, 1, "")], CHANGE), root)
+    assert state_rows(again) == {**want, (9, b"n"): (1, True, b"w")}
+    assert files.published_as(spark, root)["version"] == calls + 1
+
+
+def test_late_puts_find_the_stored_delete(spark):
+    root, change = shared_path(spark, "state-test"), lambda *rows: spark.createDataFrame([(1, *r, "") for r in rows], CHANGE)
+    change_feed.apply_changes(change((b"a", b"1", False, 1), (b"a", None, True, 5), (b"b", b"2", False, 2)), root)
+    state = change_feed.apply_changes(change((b"a", b"3", False, 3)), root, base=change((b"b", b"9", False, 1), (b"c", b"0", False, 1)).drop("h"))
+    assert state_rows(state) == {(1, b"a"): (5, True, None), (1, b"b"): (2, False, b"2"), (1, b"c"): (1, False, b"0")}
+    # equal numbers: a delete wins over what is stored, then the greater value
+    state = change_feed.apply_changes(change((b"b", b"1", False, 2), (b"c", b"1", False, 1)), root)
+    assert state_rows(state)[(1, b"b")] == (2, False, b"2") and state_rows(state)[(1, b"c")] == (1, False, b"1")
+    state = change_feed.apply_changes(change((b"b", None, True, 2)), root)
+    assert state_rows(state)[(1, b"b")] == (2, True, None)
+    assert state_rows(change_feed.apply_changes(change(), root)) == state_rows(state)
+
+
+def test_large_values_fit_small_memory(spark):
+    n, root = 20_000, shared_path(spark, "state-test")
+    big = lambda seq: spark.range(n).select(F.lit(1).alias("store_id"), F.col("id").cast("string").cast("binary").alias("key_bytes"), F.repeat(F.lit("v"), 4_000).cast("binary").alias("value_bytes"), F.lit(False).alias("deleted"), F.lit(seq).cast("long").alias("seq"))
+    for seq in (2, 1):
+        state = change_feed.apply_changes(big(seq), root, bucket_bytes=4 << 20, memory=64 << 20)
+    got = state.agg(F.count(F.lit(1)), F.min("seq"), F.sum(F.octet_length("value_bytes"))).first()
+    assert tuple(got) == (n, 2, n * 4_000)
+
+
+def test_two_publishers_lose_nothing(spark):
+    from mergestone.errors import ConcurrentUpdate
+
+    root, frame = shared_path(spark, "publish-test"), spark.range(3)
+    assert files.publish(frame, root)["version"] == 1
+    with pytest.raises(ConcurrentUpdate):
+        files.publish(frame, root, read_at=0)
+    assert files.publish(frame.limit(1), root, read_at=1)["version"] == 2 and files.published(spark, root).count() == 1
+
+
+def test_versions_of_a_document(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    doc = files.Document(spark, shared_path(spark, "document-test"))
+    assert doc.load() == (0, None)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: doc.update(lambda now: {"n": (now or {"n": 0})["n"] + 1}), range(24)))
+    assert doc.load() == (24, {"n": 24}) and len(doc.versions()) <= doc.KEEP + 1
+    assert not doc.commit(23, {}) and not doc.commit(3, {}) and doc.load()[0] == 24
 
 
 def test_no_changes(spark):
-    assert change_feed.apply_changes(spark.createDataFrame([], CHANGE), shared_path(spark, "state-test"), 0).collect() == []
+    assert change_feed.apply_changes(spark.createDataFrame([], CHANGE), shared_path(spark, "state-test")).collect() == []
 
 
 # ------------------------------------------------------------------------------------ 6
@@ -239,6 +286,10 @@ def due(spark, log, meta):
     return sorted((r.store_id, r.log_index, r.term) for r in incremental.due_records(log.records(), spark.createDataFrame(meta, META)).collect())
 
 
+def fresh_log(spark):
+    return incremental.IncrementalLog(spark, shared_path(spark, "incremental-test"))
+
+
 def test_runs_take_in_each_file_once_and_survive_failures(spark, tmp_path):
     source, root = str(tmp_path / "in"), shared_path(spark, "incremental-test")
     log = incremental.IncrementalLog(spark, root)
@@ -247,28 +298,114 @@ def test_runs_take_in_each_file_once_and_survive_failures(spark, tmp_path):
         log.run(source, fail_before_commit=True)
     assert log.batches() == [] and log.records().collect() == []
     first = log.run(source)
-    assert first and log.run(source) is None and log.records().count() == 10
+    assert len(first) == 1 and log.run(source) == [] and log.records().count() == 10
+    assert len(files.children(spark, f"{root}/data")) == 1  # what the failed attempt wrote is gone
     write(spark, [record(1, 10), record(1, 10, term=5), record(1, 11), record(2, 1, term=None), record(2, 2, kind=0), record(2, 3, key=None)], source)
     second = incremental.IncrementalLog(spark, root).run(source)
-    assert second and second != first and log.batches() == sorted([first, second])
-    assert due(spark, log, []) == [*[(1, i, 1) for i in range(1, 10)], (1, 10, 5), (1, 11, 1), (2, 1, 0)]
-    fresh = incremental.IncrementalLog(spark, shared_path(spark, "incremental-test"))
-    fresh.run(source)
-    assert due(spark, fresh, []) == due(spark, log, [])
+    assert len(second) == 1 and log.batches() == first + second
+    want = [*[(1, i, 1) for i in range(1, 10)], (1, 10, 5), (1, 11, 1), (2, 1, 0)]
+    assert due(spark, log, []) == want
+    assert sorted((r.store_id, r.log_index) for r in log.added(1).collect()) == [(1, 10), (1, 11), (2, 1)]
+    fresh = fresh_log(spark)
+    assert len(fresh.run(source, batch_files=1)) in (1, 2) and fresh.run(source) == []
+    assert due(spark, fresh, []) == want
+    log.merge()
+    assert len(log.batches()) == 1 and due(spark, log, []) == want and log.run(source) == []
     (tmp_path / "none").mkdir()
-    assert incremental.IncrementalLog(spark, shared_path(spark, "incremental-test")).run(str(tmp_path / "none")) is None
-
-
-def test_changed_bytes_under_the_same_name_are_new(spark, tmp_path):
+    assert fresh_log(spark).run(str(tmp_path / "none")) == []
+
+
+def one_file(spark, rows, path):
+    """Writes rows as the one file at path, over what is there."""
+    import shutil
+
+    spark.createDataFrame(rows, WAL).coalesce(1).write.mode("overwrite").parquet(f"{path}-folder")
+    path.parent.mkdir(exist_ok=True)
+    (part,) = path.parent.parent.glob(f"{path.parent.name}/{path.name}-folder/*.parquet")
+    shutil.move(part, path)
+    shutil.rmtree(f"{path}-folder")
+
+
+def test_rewritten_and_removed_files(spark, tmp_path):
+    import os
+
+    source, log = tmp_path / "in", fresh_log(spark)
+    one_file(spark, [record(1, 1, term=9, key=b"zzz"), record(1, 2, key=b"gone")], source / "a.parquet")
+    one_file(spark, [record(1, 1, term=2, key=b"low"), record(1, 3)], source / "b.parquet")
+    state = lambda: sorted((r.log_index, bytes(r.key_bytes)) for r in log.records().collect())
+    log.run(str(source))
+    assert state() == [(1, b"zzz"), (2, b"gone"), (3, b"k")]
+    one_file(spark, [record(1, 5, key=b"new")], source / "a.parquet")
+    assert len(log.run(str(source))) == 1
+    # what the older self of the file had hidden is back
+    assert state() == [(1, b"low"), (3, b"k"), (5, b"new")]
+    assert sorted(r.log_index for r in log.added(1).collect()) == [1, 5]
+    os.utime(source / "a.parquet", (1, 1))  # another time, the same bytes: noted, but its records stay as they are
+    assert len(log.run(str(source))) == 1 and log.run(str(source)) == [] and state() == [(1, b"low"), (3, b"k"), (5, b"new")]
+    assert log.added(2).collect() == []
+    log.merge()
+    (source / "b.parquet").unlink()
+    assert log.run(str(source)) == [] and len(state()) == 3
+    assert len(log.run(str(source), follow_removals=True)) == 1 and state() == [(5, b"new")]
+    assert log.run(str(source), follow_removals=True) == []
+    one_file(spark, [record(1, 1, term=2, key=b"low"), record(1, 3)], source / "b.parquet")
+    log.run(str(source))
+    assert state() == [(1, b"low"), (3, b"k"), (5, b"new")]
+    # bytes changed behind an unchanged size and time are seen by a full check only
+    times = (source / "b.parquet").stat().st_mtime_ns
+    raw = (source / "b.parquet").read_bytes()
+    one_file(spark, [record(1, 1, term=2, key=b"LOW"), record(1, 3)], source / "b.parquet")
+    if len((source / "b.parquet").read_bytes()) == len(raw):
+        os.utime(source / "b.parquet", ns=(times, times))
+        assert log.run(str(source)) == []
+        assert len(log.run(str(source), full_check=True)) == 1 and state()[0] == (1, b"LOW")
+    assert log.run(str(source), full_check=True) == []
+
+
+def test_two_runs_at_once(spark, tmp_path):
+    from mergestone.errors import ConcurrentUpdate
+
+    source, log = str(tmp_path / "in"), fresh_log(spark)
+    write(spark, [record(1, 1)], source)
+    slow = incremental.IncrementalLog(spark, log.root)
+    wait = slow._write_batch
+
+    def overtaken(*args):
+        entry = wait(*args)
+        log.run(source)
+        return entry
+
+    slow._write_batch = overtaken
+    with pytest.raises(ConcurrentUpdate):
+        slow.run(source)
+    assert len(log.batches()) == 1 and log.records().count() == 1
+
+
+def test_checksums(spark, tmp_path):
     import hashlib
 
     (tmp_path / "in").mkdir()
     part = tmp_path / "in" / "part-0.parquet"
     part.write_bytes(b"abc" * 500_000)
-    listed = lambda: incremental.list_files(spark, str(tmp_path / "in")).first()
-    assert (listed()["size"], listed()["checksum"]) == (1_500_000, hashlib.md5(b"abc" * 500_000).hexdigest())
-    part.write_bytes(b"abd" * 500_000)
-    assert listed()["checksum"] == hashlib.md5(b"abd" * 500_000).hexdigest()
+    listed = incremental.with_checksums(incremental.list_files(spark, str(tmp_path / "in"))).first()
+    assert (listed["size"], listed["checksum"]) == (1_500_000, hashlib.md5(b"abc" * 500_000).hexdigest())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from mergestone.errors import NoSharedFolder
+    from mergestone.session import shared_root
+
+    class Fake:
+        def __init__(self, master, root=None):
+            self.sparkContext, self.conf, self.master, self.root = self, self, master, root
+
+        def get(self, name, default):
+            return self.root or default
+
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn", "k8s://x"):
+        with pytest.raises(NoSharedFolder):
+            shared_root(Fake(master))
+        assert shared_root(Fake(master, "hdfs://x/y/")) == "hdfs://x/y"
 
 
 def test_release_deletes_what_was_written(spark, tmp_path):
