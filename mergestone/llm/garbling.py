@@ -16,12 +16,14 @@ Three families of damage are told apart:
 
 from __future__ import annotations
 
+import codecs
 import html
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
-MAX_LAYERS = 6
 LOST = "�"
 
 #: Code pages under which UTF-8 bytes may have been read, the likeliest first.
@@ -45,8 +47,10 @@ class _Page:
     name: str
     to_byte: dict[int, int]
     sequence: re.Pattern
-    #: A lead and a trail byte: cheap to look for, and in every sequence.
+    #: A lead and a trail byte: cheap to look for, and in every sequence. The characters of both are cheaper still.
     pair: re.Pattern
+    leads: frozenset
+    trails: frozenset
     latin: bool
 
 
@@ -68,7 +72,7 @@ def _page(codec: str) -> _Page:
     c = _class(cont)
     two, three, four = (_class(shown[a - 0x80 : z - 0x7F]) for a, z in ((0xC2, 0xDF), (0xE0, 0xEF), (0xF0, 0xF4)))
     latin = codec not in ("cp1251", "cp1253", "cp866", "koi8_r")
-    return _Page(codec, to_byte, re.compile(f"(?:{four}{c}{{3}}|{three}{c}{{2}}|{two}{c})+"), re.compile(_class(shown[0x42:0x75]) + c), latin)
+    return _Page(codec, to_byte, re.compile(f"(?:{four}{c}{{3}}|{three}{c}{{2}}|{two}{c})+"), re.compile(_class(shown[0x42:0x75]) + c), frozenset(shown[0x42:0x75]), frozenset(cont), latin)
 
 
 def _ranges(*pairs: tuple[int, int]) -> re.Pattern:
@@ -86,7 +90,9 @@ _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 #: Marks that may follow a shouted word: behind a capital letter they say nothing about its encoding.
 _CLOSING_LATIN = set("’”“‘…»›–—\xa0„‚")
 _CLOSING = set("’”“‘…»›–—°©®·§№\xa0„‚«™•")
-_ENTITY_RUN = re.compile(r"(?:&(?:[A-Za-z]{2,8}\d{0,2}|#\d{2,5}|#x[0-9A-Fa-f]{2,5});|[\x80-\U0010ffff])*&(?:[A-Za-z]{2,8}\d{0,2}|#\d{2,5}|#x[0-9A-Fa-f]{2,5});(?:&(?:[A-Za-z]{2,8}\d{0,2}|#\d{2,5}|#x[0-9A-Fa-f]{2,5});|[\x80-\U0010ffff])*")
+_REFERENCE = r"&(?:[A-Za-z]{2,8}\d{0,2}|#\d{2,5}|#x[0-9A-Fa-f]{2,5});"
+#: Character references and characters beyond ASCII side by side.
+_ENTITY_RUN = re.compile(f"(?:{_REFERENCE}|[\x80-\U0010ffff])+")
 
 
 def _plausible(new: str) -> bool:
@@ -148,14 +154,16 @@ _HIGH_RUN = re.compile("[^\\x00-\\x7f]+")
 def _own(text: str, found: list[re.Match]) -> list[re.Match]:
     """Without the sequences in long runs of high characters that they explain only in part: another encoding's bytes, see _decode_wide."""
     out, i = [], 0
-    for run in _HIGH_RUN.finditer(text):
-        inside = []
-        while i < len(found) and found[i].start() < run.end():
-            inside.append(found[i])
+    while i < len(found):
+        begin = found[i].start()
+        while begin and text[begin - 1] > "\x7f":
+            begin -= 1
+        end, first, covered = _HIGH_RUN.match(text, begin).end(), i, 0
+        while i < len(found) and found[i].start() < end:
+            covered += found[i].end() - found[i].start()
             i += 1
-        n = run.end() - run.start()
-        if inside and (n < 6 or sum(m.end() - m.start() for m in inside) >= 0.85 * n):
-            out += inside
+        if end - begin < 6 or covered >= 0.85 * (end - begin):
+            out += found[first:i]
     return out
 
 
@@ -178,26 +186,21 @@ def _decode_sequences(text: str, page: _Page) -> tuple[str, int]:
 # ---------------------------------------------------------------- UTF-8 read as a double-byte code
 _CJK = "\u2e80-\u9fff\uac00-\ud7a3\ue000-\uf8ff\uf900-\ufaff\ufe30-\uff9f"
 _EAST = re.compile(f"[{_CJK}]+")
-_TRAILED = re.compile(f"[{_CJK}][{_CJK}\ufffd\u20ac\x21-\x7e\xa4-\xf7\u2010-\u203b\u0370-\u0451\u2190-\u266f]*")
+_TRAILED = re.compile(f"[{_CJK}][{_CJK}\ufffd\u20ac\x21-\x7e\xa4-\xf7\u2010-\u203b\u0370-\u0451\u2100-\u214f\u2190-\u266f]*")
 
 
 _LATIN_LETTER = re.compile("[À-ÖØ-öø-ž]")
 
 
-#: Up to two bytes of a cut character, then whole ones: how UTF-8 begins.
-_UTF8_START = re.compile(rb"[\x80-\xbf]{0,2}(?:[\xe0-\xef][\x80-\xbf]{2}|[\xc2-\xdf][\x80-\xbf]|[\x00-\x7f]|[\xf0-\xf4][\x80-\xbf]{3}){0,12}")
-
-
 def _longest_utf8(raw: bytes) -> tuple[int, int, str] | None:
     """The part of raw that is strict UTF-8, allowing cut characters at both ends: start, end, text."""
-    if _UTF8_START.match(raw).end() < min(len(raw), 12) - 3:
-        return None
     for start in range(min(3, len(raw))):
-        for end in range(len(raw), max(start, len(raw) - 4), -1):
-            try:
+        try:
+            return start, len(raw), raw[start:].decode("utf-8")
+        except UnicodeDecodeError as e:
+            end = start + e.start  # what is before the first damage is strict
+            if end > start and len(raw) - end <= 3:
                 return start, end, raw[start:end].decode("utf-8")
-            except UnicodeDecodeError:
-                continue
     return None
 
 
@@ -211,6 +214,8 @@ def _decode_east(text: str) -> tuple[str, int]:
         out = []
         for piece in re.split("(�|\\?+)", run):
             new = _one_east(piece, text, m.start(), len(run)) if piece else None
+            if new is None and piece:
+                new = _east_parts(piece)
             out.append(piece if new is None else new)
             n += new is not None
         return "".join(out)
@@ -247,6 +252,67 @@ def _one_east(piece: str, text: str, at: int, run: int) -> str | None:
     return None
 
 
+codecs.register_error("mergestone_mark", lambda e: (b"\xff" * (e.end - e.start), e.end))
+#: Four or more letters of two bytes each in one alphabet, or two or more characters of three bytes, with ASCII signs between them.
+_UTF8_PART = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2}[\x20-\x7e]{0,2}){2,}|(?:[\xd0\xd1][\x80-\xbf][\x20-\x7e]{0,2}){4,}|(?:[\xce\xcf][\x80-\xbf][\x20-\x7e]{0,2}){4,}")
+_KANA_OR_MARK = re.compile("[\u3000-\u30ff\uff01-\uff5e\u2010-\u2027]")
+
+
+@lru_cache(maxsize=20_000)
+def _everyday(c: str) -> bool:
+    """Whether a character is in the first level of the Chinese or the Japanese standard."""
+    for codec, last in (("gb2312", 0xD7), ("euc_jp", 0xCF)):
+        try:
+            if 0xB0 <= c.encode(codec)[0] <= last:
+                return True
+        except UnicodeEncodeError:
+            pass
+    return False
+
+
+def _uncommon(text: str) -> float:
+    """The share of a text's high characters that are no everyday Chinese, Japanese, Korean, Cyrillic or Greek."""
+    high = [c for c in text if c > "\x7f"]
+    odd = 0
+    for c in high:
+        if _KANA_OR_MARK.match(c) or "가" <= c <= "힣" or "Ѐ" <= c <= "ё" or "Ά" <= c <= "ώ":
+            continue
+        odd += not _everyday(c)
+    return odd / len(high) if high else 1.0
+
+
+def _east_parts(piece: str) -> str | None:
+    """Stretches inside a run of East Asian characters that are UTF-8 once re-encoded, beside characters that are as they should be.
+
+    Each code is tried on the whole run at once. A stretch counts if the characters it decodes to are commoner than those
+    it shows as; a character that it shares with what follows is lost.
+    """
+    best = None
+    for codec in MULTI_BYTE:
+        raw = piece.encode(codec, "mergestone_mark")
+        found = list(_UTF8_PART.finditer(raw))
+        if not found:
+            continue
+        ends = list(accumulate(len(c.encode(codec, "mergestone_mark")) for c in piece))
+        out, at, gain = [], 0, 0.0
+        for m in found:
+            new = m.group().decode("utf-8").rstrip()
+            start, end = m.start(), m.start() + len(new.encode())
+            i = bisect_left(ends, start + 1)  # the character that holds the first byte, and the one behind the last
+            j = bisect_left(ends, end) + 1
+            if i < at or (ends[i - 1] if i else 0) != start or not _plausible(new) or new[:1] < "\u0800" and len(set(new)) < 4:
+                continue
+            drop = _uncommon(piece[i:j]) - _uncommon(new)
+            # five letters of one alphabet in a row don't come about by chance
+            if drop < (0.01 if new[:1] < "\u0800" and len(new) >= 5 else 0.25):
+                continue
+            out += [piece[at:i], new, LOST if ends[j - 1] != end else ""]
+            at, gain = j, gain + drop * len(new)
+        if out and (best is None or gain > best[0]):
+            best = gain, "".join([*out, piece[at:]])
+    return best[1] if best else None
+
+
 # ---------------------------------------------------------------- legacy encodings read as Western European
 _WEST = _page("cp1252").to_byte
 _WEST_CLASS = "".join(re.escape(chr(c)) for c in _WEST)
@@ -297,6 +363,22 @@ def _strict_parts(raw: bytes, codec: str) -> str | None:
         return None
 
 
+def _best_wide(part: str, least: float, glued: bool = False) -> str | None:
+    """The reading of part under the legacy encoding of the least cost below ``least``; few letters that belong to an ASCII word
+    or show how UTF-8 begins (``glued``) are no word of another alphabet."""
+    high = sum(c > "\x7f" for c in part)
+    if high < 4:
+        return None
+    raw, best = bytes(b if (b := ord(c)) < 0x80 else _WEST[b] for c in part), None
+    for codec in _WIDE:
+        if glued and high < 8 and codec in _ALPHABETS:
+            continue
+        new = _strict_parts(raw, codec)
+        if new is not None and (c := _wide_cost(new, codec)) < least:
+            best, least = new, c
+    return best
+
+
 def _decode_wide(text: str) -> tuple[str, int]:
     n = 0
 
@@ -307,32 +389,44 @@ def _decode_wide(text: str) -> tuple[str, int]:
         hits = [x for x in hits if not _MARK_RUN.match(x) and len(set(x)) > 1]
         if not hits and not _SHIFT_JIS.search(seg):
             return seg
-        best, cost = None, 0.25
-        for start, end in _spans(seg):
-            part = seg[start:end]
-            high = sum(c > "\x7f" for c in part)
-            if high < 4:
-                continue
-            raw = bytes(b if (b := ord(c)) < 0x80 else _WEST[b] for c in part)
-            for codec in _WIDE:
-                new = _strict_parts(raw, codec)
-                if new is None:
-                    continue
-                if (c := _wide_cost(new, codec) + 0.02 * (start + len(seg) - end) / len(seg)) < cost:
-                    best, cost = seg[:start] + new + seg[end:], c
-            if best is not None:
-                break
-        if best is None:
-            return seg
-        n += 1
-        return best
+        # the whole segment, then from its first to its last high character, then each of its dense parts
+        high = [i for i, c in enumerate(seg) if c > "\x7f"]
+        first, last = high[0], high[-1] + 1
+        for start, end, least in ((0, len(seg), 0.25), (first, last, 0.25 - 0.02 * (first + len(seg) - last) / len(seg))):
+            new = _best_wide(seg[start:end], least)
+            if new is not None:
+                n += 1
+                return seg[:start] + new + seg[end:]
+        out, at = [], 0
+        for start, end in _dense(high):
+            least = 0.25 - 0.02 * (start + len(seg) - end) / len(seg)
+            for stop in (end, min(len(seg), end + 1)):  # the last character's second byte may be ASCII
+                new = _best_wide(seg[start:stop], least, seg[start - 1 : start].isalpha() or seg[stop : stop + 1].isalpha() or bool(_FRAGMENTS.search(seg, start, stop)))
+                if new is not None:
+                    n += 1
+                    out += [seg[at:start], new]
+                    at = stop
+                    break
+        return "".join([*out, seg[at:]])
 
     new = _WEST_SEGMENT.sub(put, text)
     return (new, n) if n else (text, 0)
 
 
+def _dense(high: list[int]) -> list[tuple[int, int]]:
+    """Stretches of a segment with its high characters at most 12 places apart."""
+    runs, begin = [], high[0]
+    for a, b in zip(high, high[1:]):
+        if b - a > 12:
+            runs.append((begin, a + 1))
+            begin = b
+    runs.append((begin, high[-1] + 1))
+    return runs
+
+
 #: A word of Western letters only, none of them ASCII.
 _ACCENTED_WORD = re.compile("(?<![A-Za-zÀ-ÖØ-öø-ÿ¸¨])[À-ÖØ-öø-ÿ¸¨]{2,}(?![A-Za-zÀ-ÖØ-öø-ÿ¸¨])")
+_ACCENTED_LETTERS = frozenset(chr(c) for c in range(0xC0, 0x100)) | {"¸", "¨"}
 _CONTEXT = (("cp1251", re.compile("[А-яё]"), re.compile("[А-ЯЁ]?[а-яё]+")), ("cp1253", re.compile("[Ά-ώ]"), re.compile("[Ά-Ϋ]?[ά-ώ]+")))
 
 
@@ -355,22 +449,6 @@ def _decode_words(text: str) -> tuple[str, int]:
     return text, n
 
 
-def _spans(seg: str) -> list[tuple[int, int]]:
-    """The whole segment, then the part from its first to its last high character, then its longest dense part."""
-    high = [i for i, c in enumerate(seg) if c > "\x7f"]
-    spans = [(0, len(seg)), (high[0], high[-1] + 1)]
-    runs, begin = [], high[0]
-    for a, b in zip(high, high[1:]):
-        if b - a > 12:
-            runs.append((begin, a + 1))
-            begin = b
-    runs.append((begin, high[-1] + 1))
-    runs.sort(key=lambda r: r[0] - r[1])
-    for a, z in runs[:3]:
-        spans += [(a, z), (a, min(len(seg), z + 1))]
-    return spans
-
-
 #: What stands inside a word only when a letter was misread: a mark between letters, a capital between small letters.
 _MARKS = "‡†ˆ‰‹›•™¢£¤¥¦§¨©ª¬®¯±²³¹¶¸»«¼½¾¿¡÷ƒ„‚˜“”"
 #: Each pattern begins with the class of its signs, by which the search skips to them; what stands before them is looked at then.
@@ -458,10 +536,14 @@ _TURN = re.compile("[а-яё][А-ЯЁ]")
 _INNER_CAPITAL = re.compile("(?<=[Ѐ-ҁ])[А-ЯЁ]")
 
 
+_SELDOM = re.compile(_class([c for c in map(chr, range(0x400, 0x530)) if c.lower() not in "оеаинтсрвлкмдпу"]))
+_FRAMES = re.compile("[─-╿¤¦§©¬®¶±†‡€‰‹›]")
+
+
 def _cyrillic_cost(text: str) -> float:
     """Letters that Russian uses little, capitals inside words, frames and marks between letters."""
-    odd = sum(c.lower() not in "оеаинтсрвлкмдпу" for c in text if "Ѐ" <= c <= "ԯ")
-    marks = sum("─" <= c <= "╿" or c in "¤¦§©¬®¶±†‡€‰‹›" for c in text)
+    odd = len(_SELDOM.findall(text))
+    marks = len(_FRAMES.findall(text))
     return odd + marks + 0.5 * len(_INNER_CAPITAL.findall(text)) + len(_TURN.findall(text))
 
 
@@ -576,10 +658,15 @@ def _suspect() -> re.Pattern:
     return re.compile(_class(sorted(leads)) + _class(sorted(conts)))
 
 
-def _by_length(text: str) -> list[_Page]:
+def _by_length(text: str, chars: set[str]) -> list[_Page]:
     """The code pages whose sequences occur, those that explain most characters first."""
-    found = [(-sum(m.end() - m.start() for m in page.sequence.finditer(text)), i, page) for i, page in enumerate(map(_page, SINGLE_BYTE)) if page.pair.search(text)]
-    return [page for covered, _, page in sorted(found, key=lambda x: x[:2]) if covered]
+    found = []
+    for i, page in enumerate(map(_page, SINGLE_BYTE)):
+        if page.leads.isdisjoint(chars) or page.trails.isdisjoint(chars) or not page.pair.search(text):
+            continue
+        if covered := sum(map(len, page.sequence.findall(text))):
+            found.append((-covered, i, page))
+    return [page for _, _, page in sorted(found, key=lambda x: x[:2])]
 
 
 def _entities(text: str) -> tuple[str, int]:
@@ -590,6 +677,8 @@ def _entities(text: str) -> tuple[str, int]:
 
     def put(m: re.Match) -> str:
         nonlocal n
+        if "&" not in m.group():
+            return m.group()
         plain = html.unescape(m.group())
         if plain == m.group() or plain.isascii():
             return m.group()
@@ -611,19 +700,22 @@ def repair(text: str | None) -> Repair:
     """
     if not text or text.isascii() and "&" not in text:
         return Repair(text, False, False, 0)
-    now, layers = text, 0
-    while layers < MAX_LAYERS:
+    now, layers, seen = text, 0, {text}
+    while True:
         new, n = _entities(now)
+        chars = set(new)
         if _suspect().search(new):
-            for page in _by_length(new):
-                new, k = _decode_sequences(new, page)
-                n += k
-        if _EAST.search(new):
+            for page in _by_length(new, chars):
+                k = 1
+                while k and page.pair.search(new):  # layers of one page come off before another page is tried
+                    new, k = _decode_sequences(new, page)
+                    n += k
+        if max(chars) >= "\u2e80" and _EAST.search(new):
             new, k = _decode_east(new)
             n += k
-        if not n and (_THREE_HIGH.search(new) or _SHIFT_JIS.search(new)):
+        if not n and (_THREE_HIGH.search(new) or ("‚" in chars or "ƒ" in chars) and _SHIFT_JIS.search(new)):
             new, n = _decode_wide(new)
-        if not n and _ACCENTED_WORD.search(new):
+        if not n and not _ACCENTED_LETTERS.isdisjoint(chars) and _ACCENTED_WORD.search(new):
             new, n = _decode_words(new)
         if not n and _CYRILLIC_LETTER.search(new):
             new, n = _decode_cyrillic(new)
@@ -632,8 +724,9 @@ def repair(text: str | None) -> Repair:
         if not n and _C1.search(new):
             fixed = _C1.sub(lambda m: _chars("cp1252")[ord(m.group()) - 0x80], new)
             new, n = fixed, int(fixed != new)
-        if not n:
+        if not n or new in seen:  # a pass that leads back changes nothing
             break
+        seen.add(new)
         now, layers = new, layers + 1
     if "Ã " in now:
         fixed = _A_GRAVE.sub(lambda m: "à " if m.group().endswith("  ") or text[m.start() - 1 : m.start()] == " " else "à", now)

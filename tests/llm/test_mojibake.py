@@ -41,7 +41,7 @@ def test_utf8_read_as_a_code_page(text, page):
     assert r.text == f"As it should be. {text}"
 
 
-@pytest.mark.parametrize("layers", [2, 3])
+@pytest.mark.parametrize("layers", [2, 3, 7, 10])
 @pytest.mark.parametrize("text", TEXTS[:6])
 def test_nested_layers(text, layers):
     bad = text
@@ -103,6 +103,60 @@ def test_character_references():
     assert repair("na&Atilde;&macr;ve for &acirc;‚&not;3").text == "naïve for €3"
 
 
+def as_gbk(text):
+    return text.encode().decode("gbk", "replace")
+
+
+def test_parts_of_east_asian_runs():
+    whole, good = "没有人用过木头", "这个很好"
+    assert repair(good + "，" + as_gbk("我们测量木头")).text == good + "，我们测量木头"
+    for bad, text in ((as_gbk(whole) + "。" + good, whole), (good + "。" + as_gbk(whole) + good, whole), (as_gbk(whole) + good, whole), (good + as_gbk(whole), whole)):
+        r = repair(bad)
+        assert r.found and r.lost and text[:5] in r.text and good in r.text, r
+    r = repair("テスト。" + "説明書なしで、直してくれた".encode().decode("cp932", "replace") + "。よかった")
+    assert r.found and "説明書なしで、直してく" in r.text and r.text.startswith("テスト。") and r.text.endswith("。よかった")
+    assert repair("这个很好，" + as_gbk("Сосед проверил ключ")).text == "这个很好，Сосед проверил ключ"
+    for clean in ("谢谢你们，今天天气不错，模板已经更新，模板模板模板", "先に外すべきなのは鍋鍋鍋、一度でできた。", "목이 마르다. 韓國 사람"):
+        assert not repair(clean).found
+
+
+def test_all_garbled_parts_of_a_line():
+    bad = sloppy("Сосед".encode("cp1251"), "cp1252")
+    line = " ".join(f"plain text number {i} then {bad}" for i in range(12))
+    r = repair(line)
+    assert r.text == line.replace(bad, "Сосед") and not r.lost
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: "é" * n + "&Atilde;", lambda n: "&Atilde;" * (n // 8), lambda n: "&" * n, lambda n: "ÿ" * n, lambda n: "我们测量" * (n // 4), lambda n: as_gbk("我们测量了木头架子") * (n // 14), lambda n: "Ã©" * (n // 2),
+        lambda n: sloppy("Сосед проверил ключ ".encode("cp1251"), "cp1252") * (n // 20), lambda n: "Сосед проверил ключ ".encode("koi8_r").decode("cp1251") * (n // 20), lambda n: "â€ " * (n // 3), lambda n: "é" + " " * n + "é",
+    ],
+)
+def test_long_texts_take_linear_time(make):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        repair(make(n))
+        return time.process_time() - began
+
+    seconds(1_000)
+    short, long = seconds(30_000), seconds(300_000)
+    assert long < 30 * short + 0.5
+
+
+def test_rates_by_page():
+    from tests.llm.repair_rates import rates
+
+    got = rates([(t, lang) for t, lang in zip(TEXTS, ("fr", "de", "pl", "ru", "el", "en", "zh", "ja"))])
+    for (kind, page, _), (n, found, restored) in got.items():
+        assert found >= 0.75 * n, (kind, page, n, found)
+        if page not in ("gbk", "cp932"):
+            assert restored >= 0.8 * n, (kind, page, n, restored)
+
+
 def test_frame(spark):
     rows = [(1, "naÃ¯ve", "x"), (1, "naÃ¯ve", None), (2, None, "y"), (3, "", "z"), (None, "cafÃ©", "z"), (4, "plain", "z"), (5, "Ã©" * 50_000, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, repaired string")
