@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 BLOCK_BITS = 512
 #: A key's bits come from 63 bits of its second hash, nine for each.
 MAX_HASHES = 7
-#: Blocks fill unevenly, which costs accuracy; this many times the bits of a plain filter make up for it.
-BLOCK_FACTOR = 1.25
 
 
 def optimal_bits(n: int, p: float) -> int:
@@ -22,6 +21,27 @@ def optimal_hashes(n: int, p: float) -> int:
     return math.ceil(optimal_bits(n, p) / n * math.log(2)) if n > 0 else 0
 
 
+def blocked_rate(bits: float, hashes: int) -> float:
+    """The false-positive rate of a blocked filter with so many bits a key: blocks hold a Poisson number of keys each."""
+    load = BLOCK_BITS / bits
+    chance, total, j = math.exp(-load), 0.0, 0
+    while j < 10 * load + 50:
+        total += chance * (1 - (1 - 1 / BLOCK_BITS) ** (hashes * j)) ** hashes
+        j += 1
+        chance *= load / j
+    return total
+
+
+@lru_cache(maxsize=64)
+def blocked_bits(target: float, hashes: int) -> float:
+    """Bits a key for a blocked filter of the false-positive rate ``target``."""
+    low, high = 1.0, 512.0
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (middle, high) if blocked_rate(middle, hashes) > target else (low, middle)
+    return high
+
+
 @dataclass(frozen=True)
 class Geometry:
     """Blocks and hashes of a filter for ``keys`` keys at the false-positive rate ``target``."""
@@ -33,12 +53,8 @@ class Geometry:
     def of(cls, keys: int, target: float) -> Geometry:
         if not 0 < target < 1:
             raise ValueError("the target rate lies between 0 and 1")
-        keys = max(1, keys)
-        per_key = BLOCK_FACTOR * optimal_bits(keys, target) / keys
-        plain = max(1, min(MAX_HASHES, round(-math.log2(target))))
-        if plain == MAX_HASHES:  # fewer hashes than the optimum need more bits
-            per_key = max(per_key, BLOCK_FACTOR * MAX_HASHES / -math.log(1 - target ** (1 / MAX_HASHES)))
-        return cls(max(1, math.ceil(keys * per_key / BLOCK_BITS)), plain)
+        hashes = max(1, min(MAX_HASHES, round(-math.log2(target))))
+        return cls(max(1, math.ceil(max(1, keys) * blocked_bits(target, hashes) / BLOCK_BITS)), hashes)
 
     @property
     def bytes(self) -> int:

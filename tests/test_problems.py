@@ -20,9 +20,9 @@ def some_bytes(rng, n=6):
 KNOWN, PUTS = "key_bytes binary, at long", "put_id long, key_bytes binary, kind string, block int"
 
 
-@pytest.mark.parametrize("block,target", [(1, 0.001), (10, 0.5), (1 << 16, 0.9)])
-def test_seen_keys_are_exact_at_any_rate(spark, block, target):
-    rng = random.Random(block)
+@pytest.mark.parametrize("target", [0.001, 0.5, 0.9])
+def test_seen_keys_are_exact_at_any_rate(spark, target):
+    rng = random.Random(int(1000 * target))
     keys = [some_bytes(rng) for _ in range(150)] + [b"", b"hot"]
     known = [(rng.choice(keys), 1) for _ in range(80)] + [(None, 1)]
     puts = [(i, rng.choice(keys) if rng.random() < 0.6 else b"hot", "x", 5) for i in range(400)] + [(1000 + i, None, None, None) for i in range(3)]
@@ -32,7 +32,7 @@ def test_seen_keys_are_exact_at_any_rate(spark, block, target):
         if k is not None:
             want |= {i} if k in seen else set()
             seen.add(k)
-    got = seen_keys.already_seen(spark.createDataFrame(known, KNOWN), spark.createDataFrame(puts, PUTS), "put_id", block=block, target=target)
+    got = seen_keys.already_seen(spark.createDataFrame(known, KNOWN), spark.createDataFrame(puts, PUTS), "put_id", target=target)
     assert sorted(r["at"] for r in got.collect()) == sorted(want)
 
 
@@ -43,13 +43,54 @@ def test_seen_keys_on_empty_tables_and_equal_numbers(spark):
     assert seen_keys.error_rate(none, puts.limit(0), "put_id").first()["probes"] == 0
 
 
-def test_error_rate_is_near_its_target(spark):
-    known = spark.range(40_000).select(F.col("id").cast("string").cast("binary").alias("key_bytes"))
-    puts = spark.range(30_000).select(F.col("id").alias("put_id"), F.concat(F.lit("x"), F.col("id").cast("string")).cast("binary").alias("key_bytes"))
-    r = seen_keys.error_rate(known, puts, "put_id", target=0.01).first()
-    assert r["probes"] == 30_000 and r["unseen_first_records"] == 30_000
-    assert r["measured_rate"] < 0.015 and r["wrong_first_records"] < 450
-    assert r["filter_bytes"] < 70_000 * 3
+def absent_and_present(spark):
+    """40,000 known keys; 30,000 incoming, of them 10,000 known."""
+    text = lambda c: F.col(c).cast("string").cast("binary").alias("key_bytes")
+    return spark.range(40_000).select(text("id")), spark.range(30_000, 60_000).select(F.col("id").alias("put_id"), text("id"))
+
+
+@pytest.mark.parametrize("target", [0.01, 0.001])
+def test_error_rate_is_near_its_target(spark, target):
+    known, puts = absent_and_present(spark)
+    r = seen_keys.error_rate(known, puts, "put_id", target=target).first()
+    assert (r["probes"], r["new_keys"], r["incoming_keys"], r["known_keys"]) == (30_000, 20_000, 30_000, 40_000)
+    slack = 3 * (target / 30_000) ** 0.5
+    assert 0.5 * target - slack < r["measured_rate"] < 2 * target + slack
+    assert 0 < r["wrong_new_keys"] + 1 < 2 * target * 20_000 + 20
+    # the exact check sees the keys that are on both sides and a few more
+    assert 10_000 <= r["checked_keys"] == 10_000 + r["wrong_new_keys"] and 10_000 <= r["possible_known"] < 10_000 + 2 * target * 30_000 + 20
+    assert r["filter_bytes"] < 60_000 * (3 if target == 0.001 else 2)
+
+
+def test_without_the_filters_all_keys_would_be_checked(spark, monkeypatch):
+    """The filters decide how much work there is, the exact check that the answer is right."""
+    known, puts = absent_and_present(spark)
+    want = sorted(r["at"] for r in seen_keys.already_seen(known, puts, "put_id").collect())
+    always = seen_keys._judge
+
+    def maybe(*geometry):
+        judge = always(*geometry)
+
+        def run(batches):
+            import numpy as np
+
+            from mergestone.operators import bloom
+
+            bloom.BlockedBloom.contains = lambda self, h1, h2: np.ones(len(h1), dtype=bool)
+            bloom.BlockedBloom.query_then_add = lambda self, h1, h2: np.ones(len(h1), dtype=bool)
+            import importlib
+
+            try:
+                yield from judge(batches)
+            finally:
+                importlib.reload(bloom)
+
+        return run
+
+    monkeypatch.setattr(seen_keys, "_judge", maybe)
+    r = seen_keys.error_rate(known, puts, "put_id").first()
+    assert (r["checked_keys"], r["possible_known"], r["wrong_new_keys"]) == (30_000, 40_000, 20_000)
+    assert sorted(r["at"] for r in seen_keys.already_seen(known, puts, "put_id").collect()) == want == list(range(30_000, 40_000))
 
 
 def test_blocked_filter_never_forgets():
