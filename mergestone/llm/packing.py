@@ -8,11 +8,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergestone.session import materialize
+from mergestone.session import materialize, parallelism
 
 CAPACITY = 2_048
-#: Tokens of the items that one task packs. Items are spread by hash, so each group is a fair mixture of sizes.
+#: Tokens of a group, which is packed as one. Items are spread by hash, so each group is a fair mixture of sizes.
 GROUP_TOKENS = 4_000_000
+GROUPS_PER_TASK = 256
+#: Half-empty containers, one a group, that are packed together.
+LEFTOVERS = 65_536
 
 
 class OpenBins:
@@ -104,32 +107,47 @@ def _pack(capacity: int, stride: int):
     return run
 
 
-def pack(counts: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def pack(counts: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, leftovers: int = LEFTOVERS) -> DataFrame:
     """(container, doc_id, part, first_token, n_tokens): every item of ``counts`` (doc_id, n_tokens) in one container.
 
     No container holds more than ``capacity`` tokens. Only a text of more tokens is split: into full containers' worth and a
     rest. A text without tokens is an item of size 0 and stands in some container. Rows with the same id are items of
     their own; a null count is a size of 0. An empty table gives no containers.
 
-    Items are spread by hash over groups of about ``group_tokens`` tokens and packed best-fit decreasing within each, so the work of a
-    task doesn't grow with the corpus. A group can leave at most one container half empty or emptier (a second
-    one's items would have fitted into it); those, one a group, are packed together in a last step.
+    Items are spread by hash over groups of about ``group_tokens`` tokens and packed best-fit decreasing within each; a task takes up
+    to ``GROUPS_PER_TASK`` groups, one after the other, so neither its memory nor the number of tasks grows out of hand. A group
+    can leave at most one container half empty or emptier (a second one's items would have fitted into it). Those, one a
+    group, are packed as items of their fill, again in groups, of ``leftovers`` containers, level by level until one group is left.
     """
     sized = materialize(split_items(counts.select("doc_id", F.coalesce(F.col("n_tokens"), F.lit(0)).alias("n_tokens")), capacity), "items")
     total = sized.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0
     groups, stride = max(1, math.ceil(total / group_tokens)), 1 << 32
     grouped = sized.withColumn("group", F.pmod(F.xxhash64("doc_id", "part"), F.lit(groups)).cast("int"))
-    laid = grouped.repartitionById(groups, F.col("group")).sortWithinPartitions("group", F.col("n_tokens").desc(), "doc_id", "part")
-    schema = "doc_id long, part int, first_token int, n_tokens int, container long"
-    packed = materialize(laid.select("doc_id", "part", "first_token", "n_tokens", F.col("group").cast("int").alias("group")).mapInArrow(_pack(capacity, stride), schema), "packed")
+    packed = materialize(_in_groups(grouped, ["doc_id", "part", "first_token"], groups, capacity, stride), "packed")
     columns = ["container", "doc_id", "part", "first_token", "n_tokens"]
-    if groups == 1:
+    moves, level, used = None, packed, groups
+    while groups > 1:
+        slack = level.groupBy("container").agg(F.sum("n_tokens").cast("int").alias("n_tokens")).where(F.col("n_tokens") * 2 <= capacity)
+        groups = math.ceil(groups / leftovers)
+        again = slack.select(F.col("container").alias("old"), "n_tokens", F.pmod(F.xxhash64("container"), F.lit(groups)).cast("int").alias("group"))
+        level = materialize(_in_groups(again, ["old"], groups, capacity, stride).withColumn("container", F.col("container") + used * stride), "leftovers")
+        step, used = level.select("old", F.col("container").alias("new")), used + groups
+        if moves is None:
+            moves = step
+        else:  # a container that moved and whose new container moved again
+            later = step.select(F.col("old").alias("new"), F.col("new").alias("newer"))
+            moves = moves.join(later, "new", "left").select("old", F.coalesce("newer", "new").alias("new"))
+    if moves is None:
         return packed.select(columns)
-    slack = packed.groupBy("container").agg(F.sum("n_tokens").cast("int").alias("n_tokens")).where(F.col("n_tokens") * 2 <= capacity)
-    # one row a group: the emptiest containers, packed as items of their fill
-    again = slack.select("container", "n_tokens", F.lit(0).alias("group")).repartition(1).sortWithinPartitions(F.col("n_tokens").desc(), "container")
-    moved = again.withColumnRenamed("container", "old").mapInArrow(_pack(capacity, stride), "old long, n_tokens int, container long").select("old", (F.col("container") + groups * stride).alias("new"))
-    return packed.join(moved, packed["container"] == moved["old"], "left").select(F.coalesce("new", "container").alias("container"), *columns[1:])
+    return packed.join(moves, packed["container"] == moves["old"], "left").select(F.coalesce("new", "container").alias("container"), *columns[1:])
+
+
+def _in_groups(items: DataFrame, keep: list[str], groups: int, capacity: int, stride: int) -> DataFrame:
+    """(keep..., n_tokens, container) of items (keep..., n_tokens, group), each group packed on its own."""
+    tasks = min(groups, max(parallelism(items.sparkSession), math.ceil(groups / GROUPS_PER_TASK)))
+    laid = items.select(*keep, "n_tokens", "group").repartitionById(tasks, (F.col("group") % tasks).cast("int"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in laid.schema.fields if f.name != "group"]
+    return laid.sortWithinPartitions("group", F.col("n_tokens").desc(), *keep).mapInArrow(_pack(capacity, stride), ", ".join([*kinds, "container long"]))
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import unicodedata
 from functools import lru_cache
 
 #: Where the vocabulary lies on every machine; pass another path for another place.
@@ -29,18 +30,24 @@ def _pieces():
     return regex.compile(PATTERN)
 
 
+def _certain(before: str, after: str) -> bool:
+    """Whether a pre-token begins between two characters whatever stands around them: a run of letters or of digits ends there."""
+    kind = unicodedata.category(after)
+    return kind != "Cn" and (before.isalpha() and kind[0] != "L" or unicodedata.category(before)[0] == "N" and kind[0] != "N")
+
+
 def safe_boundaries(text: str, start: int, begin: int, end: int) -> list[int]:
-    """Places (counted from ``start``) in [begin, end] where a pre-token of ``text`` begins after a character that is no white space.
+    """Places (counted from ``start``) in [begin, end] where a pre-token of ``text`` begins behind a run of letters or digits.
 
-    A text cut at such a place splits into the same pre-tokens as the whole: the pattern looks ahead only
-    within and behind white space. The last pre-token's end is not among them, as it may go on.
+    A text cut at such a place splits into the same pre-tokens as the whole: the pattern's tokens hold one kind of
+    character each, white space only before them. So it holds wherever the scan began, also within a pre-token.
     """
     out = []
     for m in _pieces().finditer(text):
         at = m.start()
         if start + at > end:
             break
-        if at and start + at >= begin and not text[at - 1].isspace():
+        if at and start + at >= begin and _certain(text[at - 1], text[at]):
             out.append(start + at)
     return out
 

@@ -50,6 +50,23 @@ def test_repeated_and_null_ids_and_extra_columns(spark):
     assert got == sorted([(1, whole("a b")), (1, whole("c")), (0, whole("d" * 500)), (0, whole("e " * 200))])
 
 
+def test_only_a_gap_without_a_boundary_is_joined(spark):
+    from mergestone.llm.encoding import stitched_parts
+
+    text = "some words " * 60 + "x" * 700 + " more words" * 60
+    parts = sorted(stitched_parts(frame(spark, [(7, text)]), chunk=100, overlap=30).collect(), key=lambda r: r.piece)
+    assert "".join(r.part for r in parts) == text and len(parts) == 21
+    assert 5 <= sum(r.joins for r in parts) <= 8
+    assert [r.ids for r in encode_documents(frame(spark, [(7, text)]), chunk=100, overlap=30).collect()] == [whole(text)]
+
+
+def test_contractions_at_a_cut(spark):
+    rows = [(i, ("'" * i + "real ''re'all ''''llama 's 'tis ") * 40) for i in range(8)] + [(100, "'''real" * 200), (101, "a\x1cb\x85c 1½2Ⅷx " * 60)]
+    for chunk in (37, 50, 53):
+        got = {r.doc_id: r.ids for r in encode_documents(frame(spark, rows), chunk=chunk, overlap=20).collect()}
+        assert got == {i: whole(t) for i, t in rows}
+
+
 def test_empty_table(spark):
     assert encode_documents(frame(spark, [])).collect() == []
 

@@ -66,6 +66,15 @@ def test_leftovers_of_groups_are_merged(spark):
     assert len(check(rows, packed, 1000)) == 1
 
 
+@pytest.mark.parametrize("leftovers", [2, 5])
+def test_leftovers_are_merged_level_by_level(spark, leftovers):
+    rng = random.Random(leftovers)
+    rows = [(i, rng.choice([10, 15, 30])) for i in range(150)]
+    packed = pack(spark.createDataFrame(rows, "doc_id long, n_tokens int"), capacity=100, group_tokens=90, leftovers=leftovers).collect()
+    fill = check(rows, packed, 100)
+    assert sum(2 * f <= 100 for f in fill.values()) <= 1
+
+
 def test_repeated_ids_ties_and_empty(spark):
     rows = [(1, 60), (1, 60), (2, 40), (2, 40)]
     packed = pack(spark.createDataFrame(rows, "doc_id long, n_tokens int"), capacity=100).collect()
