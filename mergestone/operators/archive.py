@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 
 from mergestone.session import materialize
 
-#: A block is closed when it has so many bytes; a written file gets about FILE_BYTES of blocks.
+#: A block is closed when it has so many bytes; a written file gets about FILE_BYTES of blocks, more where the files would be too many.
 BLOCK_BYTES = 8 << 20
-FILE_BYTES = 32 << 20
+FILE_BYTES = 256 << 20
+MOST_FILES = 100_000
 
 MEMBER = T.StructType(
     [
@@ -167,7 +168,7 @@ def pack_archive(sst_info: DataFrame, sst_entry: DataFrame, block_bytes: int = B
     size = sst_entry.agg(F.sum(F.coalesce(F.octet_length("key_bytes"), F.lit(0)) + F.coalesce(F.octet_length("value_bytes"), F.lit(0)) + 25).alias("b")).first()["b"] or 0
     record = F.when(F.col("owner"), encode_record()).otherwise(F.lit(b""))
     rows = listed_versions(sst_info, sst_entry).select(*order, "sst_path", record.alias("record"))
-    laid = rows.repartitionByRange(max(1, math.ceil(size / file_bytes)), *order).sortWithinPartitions(*order)
+    laid = rows.repartitionByRange(max(1, min(MOST_FILES, math.ceil(size / file_bytes))), *order).sortWithinPartitions(*order)
     return materialize(laid.select("store_id", "sst_level", "sst_id", "sst_path", "record").mapInArrow(_packer(block_bytes), BLOCK), "archive")
 
 

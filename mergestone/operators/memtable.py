@@ -37,7 +37,7 @@ def sizes(entries: DataFrame) -> DataFrame:
     return entries.groupBy("store_id").agg(F.count(F.lit(1)).alias("n_keys"), F.sum(size).alias("bytes"))
 
 
-def _fold(kind: str, limit: int):
+def _fold(limit: int):
     """Walks a partition sorted by (store, index) and numbers the epochs: state is (store, epoch, its first index, its size)."""
 
     def run(batches: Iterator) -> Iterator:
@@ -47,8 +47,7 @@ def _fold(kind: str, limit: int):
         for b in batches:
             col = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
             out = []
-            before = zip(col["before_index"], col["before_bytes"]) if kind == "memtable" else ((None, 0) for _ in col["bytes"])
-            for s, index, n, (prev, prev_n) in zip(col["store_id"], col["log_index"], col["bytes"], before):
+            for s, index, n, prev, prev_n in zip(col["store_id"], col["log_index"], col["bytes"], col["before_index"], col["before_bytes"]):
                 if s != store:
                     store, epoch, start, size = s, 1, index, 0
                 elif size >= limit:
@@ -60,6 +59,34 @@ def _fold(kind: str, limit: int):
     return run
 
 
+def _steps(limit: int):
+    """Walks a partition sorted by (store, index) from one segment's end to the next, found in the running sums of a batch."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        store, epoch, size = None, 0, 0
+        for b in batches:
+            stores, sizes = (b.column(c).to_numpy(zero_copy_only=False) for c in ("store_id", "bytes"))
+            ends, out = np.cumsum(sizes), np.empty(len(sizes), np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(stores)) + 1).tolist(), len(stores)]
+            for a, z in zip(cuts, cuts[1:]):
+                if a < z and stores[a] != store:
+                    store, epoch, size = stores[a], 1, 0
+                while a < z:
+                    if size >= limit:
+                        epoch, size = epoch + 1, 0
+                    before = int(ends[a] - sizes[a])
+                    stop = min(z, int(np.searchsorted(ends, before + limit - size)) + 1)  # the record that fills the segment belongs to it
+                    out[a:stop] = epoch
+                    size += int(ends[stop - 1]) - before
+                    a = stop
+            yield pa.RecordBatch.from_arrays([b.column("store_id"), b.column("log_index"), b.column("bytes"), pa.array(out)], names=["store_id", "log_index", "bytes", "epoch"])
+
+    return run
+
+
 _EPOCHS = "store_id int, log_index long, bytes long, epoch long"
 
 
@@ -75,13 +102,16 @@ def flush_epochs(records: DataFrame, limit: int) -> DataFrame:
     sized = records.withColumn("bytes", size).select(
         "store_id", "log_index", "bytes", F.lag("log_index").over(mine).alias("before_index"), F.lag("bytes").over(mine).alias("before_bytes")
     )
-    return sized.repartition("store_id").sortWithinPartitions("store_id", "log_index").mapInArrow(_fold("memtable", limit), _EPOCHS)
+    return sized.repartition("store_id").sortWithinPartitions("store_id", "log_index").mapInArrow(_fold(limit), _EPOCHS)
 
 
 def rotation(records: DataFrame, limit: int) -> DataFrame:
-    """(store_id, log_index, bytes, epoch): the log segment a record is written to, from 1; a segment is closed once it has ``limit`` bytes."""
+    """(store_id, log_index, bytes, epoch): the log segment a record is written to, from 1; a segment is closed once it has ``limit`` bytes.
+
+    Each segment's start depends on the end of the one before, so a store is one pass; it steps over segment ends only.
+    """
     sized = records.select("store_id", "log_index", wal_bytes(F.col("key_bytes"), F.col("value_bytes")).alias("bytes"))
-    return sized.repartition("store_id").sortWithinPartitions("store_id", "log_index").mapInArrow(_fold("log", limit), _EPOCHS)
+    return sized.repartition("store_id").sortWithinPartitions("store_id", "log_index").mapInArrow(_steps(limit), _EPOCHS)
 
 
 def epoch_summary(epochs: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergestone.config import BLOOM_RATE, SPARSE_EVERY
 from mergestone.functions.layout import run_bytes
 from mergestone.operators.archive import file_level, file_number
+from mergestone.operators.offsets import segmented_offsets
 from mergestone.operators.versions import latest
 
 
@@ -34,10 +35,10 @@ def run_meta(entries: DataFrame) -> DataFrame:
 
 
 def entry_offsets(entries: DataFrame) -> DataFrame:
-    """Adds ``nth`` (from 0) and ``offset``, the place of the entry's bytes in its run."""
-    by = Window.partitionBy("store_id", "level", "run").orderBy("key_bytes")
-    own = run_bytes(F.col("key_bytes"), F.col("value_bytes"))
-    return entries.withColumn("nth", F.row_number().over(by) - 1).withColumn("offset", F.sum(own).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - own)
+    """Adds ``nth`` (from 0) and ``offset``, the place of the entry's bytes in its run. A run may be spread over many tasks."""
+    sized = entries.withColumn("nth", F.lit(1).cast("long")).withColumn("offset", run_bytes(F.col("key_bytes"), F.col("value_bytes")))
+    placed = segmented_offsets(sized, ["store_id", "level", "run"], ["key_bytes"], ["nth", "offset"])
+    return placed.select(*entries.columns, F.col("nth_before").alias("nth"), F.col("offset_before").alias("offset"))
 
 
 def sparse_index(entries: DataFrame, every: int = SPARSE_EVERY) -> DataFrame:
@@ -56,41 +57,64 @@ def bloom_sizes(meta: DataFrame, rate: float = BLOOM_RATE) -> DataFrame:
     return meta.withColumn("bloom_bits", bits.cast("long")).withColumn("bloom_hashes", F.ceil(F.col("bloom_bits") / F.col("entry_count") * F.log(F.lit(2.0))).cast("int"))
 
 
+#: Keys of one filter at most: a larger run has several, its keys dealt out by hash.
+FILTER_KEYS = 1 << 20
+
+
 def _probe(rate: float):
-    """Streams entries sorted by run; builds each run's filter, then asks it for the run's keys and for as many absent ones."""
+    """Streams entries sorted by filter; keeps the hashes of a filter's keys, then asks it for these and for as many absent ones."""
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         from mergestone.sources.formats import KeyFilter
 
-        names = ["store_id", "level", "run", "keys", "rejected", "false_positives"]
-        current, keys = None, []
+        names, kinds = ["store_id", "level", "run", "keys", "rejected", "false_positives"], (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        current, present, absent, done = None, [], [], []
+
+        def close() -> None:
+            mine, other = np.concatenate(present), np.concatenate(absent)
+            f = KeyFilter.sized(len(mine), rate)
+            f.add_hashes(mine)
+            done.append((*current[:3], len(mine), int((~f.may_contain_hashes(mine)).sum()), int(f.may_contain_hashes(other).sum())))
+            present.clear()
+            absent.clear()
 
-        def close():
-            f = KeyFilter.sized(len(keys), rate)
-            for k in keys:
-                f.add(k)
-            absent = b"\xff" * 65
-            return (*current, len(keys), sum(not f.may_contain(k) for k in keys), sum(f.may_contain(k + absent) for k in keys))
+        def out():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names=names)
+            done.clear()
+            return batch
 
         for b in batches:
-            done = []
-            for s, lv, r, k in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if (s, lv, r) != current:
-                    if current:
-                        done.append(close())
-                    current, keys = (s, lv, r), []
-                keys.append(k)
+            ids = list(zip(*(b.column(c).to_pylist() for c in ("store_id", "level", "run", "part"))))
+            keys = b.column("key_bytes").to_pylist()
+            mine, other = KeyFilter.hash(keys), KeyFilter.hash(k + b"\xff" * 65 for k in keys)
+            cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
+            for a, z in zip(cuts, cuts[1:]):
+                if a == z:
+                    continue
+                if ids[a] != current:
+                    if present:
+                        close()
+                    current = ids[a]
+                present.append(mine[a:z])
+                absent.append(other[a:z])
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=names)
-        if current:
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(close(), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=names)
+                yield out()
+        if present:
+            close()
+        if done:
+            yield out()
 
     return run
 
 
-def bloom_probe(entries: DataFrame, rate: float = BLOOM_RATE) -> DataFrame:
-    """(store_id, level, run, keys, rejected, false_positives): present keys that the run's filter rejects (always 0) and absent ones it lets pass."""
-    rows = entries.select("store_id", "level", "run", "key_bytes").repartition("store_id", "level", "run").sortWithinPartitions("store_id", "level", "run")
-    return rows.mapInArrow(_probe(rate), "store_id int, level long, run long, keys long, rejected long, false_positives long")
+def bloom_probe(entries: DataFrame, rate: float = BLOOM_RATE, filter_keys: int = FILTER_KEYS) -> DataFrame:
+    """(store_id, level, run, keys, rejected, false_positives): present keys that the run's filters reject (always 0) and absent ones they let pass."""
+    run = ["store_id", "level", "run"]
+    counts = entries.groupBy(*run).agg(F.ceil(F.count(F.lit(1)) / filter_keys).alias("parts"))
+    rows = entries.select(*run, "key_bytes").join(counts, run).select(*run, F.pmod(F.xxhash64("key_bytes"), F.col("parts")).alias("part"), "key_bytes")
+    laid = rows.repartition(*run, "part").sortWithinPartitions(*run, "part")
+    found = laid.mapInArrow(_probe(rate), "store_id int, level long, run long, keys long, rejected long, false_positives long")
+    return found.groupBy(*run).agg(*[F.sum(c).alias(c) for c in ("keys", "rejected", "false_positives")])

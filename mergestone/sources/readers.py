@@ -12,7 +12,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    DataSourceWriter,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
 
 WAL_SCHEMA = "path string, segment int, offset long, term long, log_index long, op_type tinyint, key_bytes binary, value_bytes binary"
 SST_SCHEMA = "path string, key_bytes binary, value_bytes binary, tombstone boolean, ts long"
@@ -68,54 +82,128 @@ class _FileReader(DataSourceReader):
             held += size
         return parts
 
-    def read(self, partition: FilePart) -> Iterator[tuple]:
+    def read(self, partition: FilePart) -> Iterator:
+        """Arrow batches of some megabytes."""
         if not isinstance(partition, FilePart):  # an empty list of parts becomes one without files
             return
         where, _ = open_fs(self.folder)
         for path in partition.paths:
             with where.open_input_file(path) as f:
-                yield from self._rows(path, f)
+                yield from self._batches(path, f)
+
+
+def _batch(schema, columns: list):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _wal_schema():
+    import pyarrow as pa
+
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.binary(), pa.binary())
+    return pa.schema(list(zip((c.split()[0] for c in WAL_SCHEMA.split(", ")), kinds)))
+
+
+def _sst_schema():
+    import pyarrow as pa
+
+    return pa.schema([("path", pa.string()), ("key_bytes", pa.binary()), ("value_bytes", pa.binary()), ("tombstone", pa.bool_()), ("ts", pa.int64())])
 
 
 class _WalReader(_FileReader):
     suffix = ".log"
 
-    def _rows(self, path: str, f) -> Iterator[tuple]:
-        import io
+    def _batches(self, path: str, f) -> Iterator:
         import re
 
-        from mergestone.sources.formats import read_log
+        from mergestone.sources.formats import read_log_blocks
 
-        number = re.search(r"wal-(\d+)\.log$", path)
-        for offset, term, index, kind, key, value in read_log(io.BufferedReader(f, 1 << 20)):
-            yield path, int(number[1]) if number else None, offset, term, index, kind, key, value
+        number, schema = re.search(r"wal-(\d+)\.log$", path), _wal_schema()
+        for b in read_log_blocks(f):
+            n = len(b.keys)
+            yield _batch(schema, [[path] * n, [int(number[1]) if number else None] * n, b.offset, b.term, b.index, b.kind, b.keys, b.values])
 
 
 class _SstReader(_FileReader):
+    """Conditions on the key are taken over: a run outside them isn't read beyond its footer, and wanted keys are looked up."""
+
     suffix = ".sst"
 
-    def _rows(self, path: str, f) -> Iterator[tuple]:
+    def __init__(self, options) -> None:
+        super().__init__(options)
+        self.keys: set | None = None
+        self.low: bytes | None = None
+        self.high: bytes | None = None
+
+    def pushFilters(self, filters):  # noqa: N802
+        for f in filters:
+            if f.attribute != ("key_bytes",) or not isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, IsNotNull)):
+                yield f
+            elif isinstance(f, (EqualTo, In)):
+                keys = {bytes(v) for v in (f.value if isinstance(f, In) else [f.value]) if v is not None}
+                self.keys = keys if self.keys is None else self.keys & keys
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low or b"", bytes(f.value))
+            elif isinstance(f, (LessThan, LessThanOrEqual)):
+                self.high = bytes(f.value) if self.high is None else min(self.high, bytes(f.value))
+            if isinstance(f, (GreaterThan, LessThan)):
+                yield f  # the bound itself is left to Spark
+
+    def _batches(self, path: str, f) -> Iterator:
         from mergestone.sources.formats import RunReader
 
-        for entry in RunReader(f).scan():
-            yield (path, *entry)
+        run, schema = RunReader(f), _sst_schema()
+        if self.keys is None:
+            blocks = run.blocks(self.low, self.high)
+        else:
+            blocks = run.get_many(k for k in self.keys if (self.low is None or k >= self.low) and (self.high is None or k <= self.high))
+        for b in blocks:
+            yield _batch(schema, [[path] * len(b.keys), b.keys, b.values, b.tombstone, b.ts])
 
 
-class _FileWriter(DataSourceWriter):
+class _FileWriter(DataSourceArrowWriter):
     """Each task writes its files under a temporary name; they get their names when all tasks have succeeded."""
 
     def __init__(self, options) -> None:
         self.folder = options["path"]
 
-    def _put(self, where, inner: str, name: str, fill) -> tuple[str, str]:
+    def _place(self, batch) -> list:
+        """The file of each row."""
+        raise NotImplementedError
+
+    def _start(self, stream):
+        """(write(batch), finish()) for a new file."""
+        raise NotImplementedError
+
+    def write(self, iterator) -> Written:
         import uuid
 
-        final = f"{inner.rstrip('/')}/{name}"
-        part = f"{final}.{uuid.uuid4().hex}.part"
-        where.create_dir(final.rpartition("/")[0], recursive=True)
-        with where.open_output_stream(part) as f:
-            fill(f)
-        return part, final
+        where, inner = open_fs(self.folder)
+        done, current, stream, put, finish = [], None, None, None, None
+
+        def close() -> None:
+            if stream is not None:
+                finish()
+                stream.close()
+
+        for batch in iterator:
+            names = self._place(batch)
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, z in zip(cuts, cuts[1:]):
+                if a == z:
+                    continue
+                if names[a] != current:
+                    close()
+                    current, final = names[a], f"{inner.rstrip('/')}/{names[a]}"
+                    part = f"{final}.{uuid.uuid4().hex}.part"
+                    where.create_dir(final.rpartition("/")[0], recursive=True)
+                    stream = where.open_output_stream(part)
+                    done.append((part, final))
+                    put, finish = self._start(stream)
+                put(batch.slice(a, z - a))
+        close()
+        return Written(done)
 
     def commit(self, messages) -> None:
         where, _ = open_fs(self.folder)
@@ -131,47 +219,29 @@ class _FileWriter(DataSourceWriter):
 
 
 class _WalWriter(_FileWriter):
-    def write(self, iterator) -> Written:
+    def _place(self, batch) -> list:
+        folders = batch.column("folder").to_pylist() if "folder" in batch.schema.names else [""] * batch.num_rows
+        return [f"{f}/wal-{n:06d}.log" if f else f"wal-{n:06d}.log" for f, n in zip(folders, batch.column("segment").to_pylist())]
+
+    def _start(self, stream):
         from mergestone.sources.formats import encode_log_record
 
-        where, inner = open_fs(self.folder)
-        rows, done, current = [], [], None
+        def put(batch) -> None:
+            columns = (batch.column(c).to_pylist() for c in ("term", "log_index", "op_type", "key_bytes", "value_bytes"))
+            stream.write(b"".join(map(encode_log_record, *columns)))
 
-        def close() -> None:
-            if current is not None:
-                folder, number = current
-                name = f"{folder}/wal-{number:06d}.log" if folder else f"wal-{number:06d}.log"
-                done.append(self._put(where, inner, name, lambda f: f.writelines(rows) if hasattr(f, "writelines") else f.write(b"".join(rows))))
-
-        for r in iterator:
-            row = r.asDict()
-            place = (row.get("folder") or "", row["segment"])
-            if place != current:
-                close()
-                rows, current = [], place
-            rows.append(encode_log_record(row["term"], row["log_index"], row["op_type"], bytes(row["key_bytes"]), row["value_bytes"] and bytes(row["value_bytes"])))
-        close()
-        return Written(done)
+        return put, lambda: None
 
 
 class _SstWriter(_FileWriter):
-    def write(self, iterator) -> Written:
-        from mergestone.sources.formats import write_run
+    def _place(self, batch) -> list:
+        return batch.column("file").to_pylist()
 
-        where, inner = open_fs(self.folder)
-        rows, done, current = [], [], None
+    def _start(self, stream):
+        from mergestone.sources.formats import RunWriter
 
-        def close() -> None:
-            if current is not None:
-                done.append(self._put(where, inner, current, lambda f: write_run(f, rows, len(rows))))
-
-        for r in iterator:
-            if r["file"] != current:
-                close()
-                rows, current = [], r["file"]
-            rows.append((bytes(r["key_bytes"]), r["value_bytes"] and bytes(r["value_bytes"]), bool(r["tombstone"]), r["ts"]))
-        close()
-        return Written(done)
+        run = RunWriter(stream)
+        return lambda batch: run.write(*(batch.column(c).to_pylist() for c in ("key_bytes", "value_bytes", "tombstone", "ts"))), run.finish
 
 
 class WalSource(DataSource):

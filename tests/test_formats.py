@@ -53,7 +53,7 @@ def test_torn_tail_and_tiny_length():
 
 def run_of(entries):
     out = io.BytesIO()
-    meta = write_run(out, entries, len(entries))
+    meta = write_run(out, entries)
     return RunReader(io.BytesIO(out.getvalue())), meta
 
 
@@ -61,7 +61,7 @@ def test_run_round_trip_and_lookup():
     entries = [(b"key-%06d" % i, b"" if i % 2 else b"value-%06d" % i, i % 2 == 1, i) for i in range(1000)]
     run, meta = run_of(entries)
     assert (meta["entry_count"], meta["min_key"], meta["max_key"]) == (1000, b"key-000000", b"key-000999")
-    assert list(run.scan()) == entries and len(run.index_keys) == 63
+    assert list(run.scan()) == entries and len(run.index[0]) == 63
     assert all(run.get(e[0]) == e for e in entries)
     assert [run.get(k) for k in (b"aaa-missing", b"key-000500x", b"key-999999", b"zzz-missing")] == [None] * 4
 
