@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mergestone.functions.layout import memtable_bytes, wal_bytes
 from mergestone.operators.versions import latest, live
@@ -82,7 +83,7 @@ def _steps(limit: int):
                     out[a:stop] = epoch
                     size += int(ends[stop - 1]) - before
                     a = stop
-            yield pa.RecordBatch.from_arrays([b.column("store_id"), b.column("log_index"), b.column("bytes"), pa.array(out)], names=["store_id", "log_index", "bytes", "epoch"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "epoch"])
 
     return run
 
@@ -105,13 +106,15 @@ def flush_epochs(records: DataFrame, limit: int) -> DataFrame:
     return sized.repartition("store_id").sortWithinPartitions("store_id", "log_index").mapInArrow(_fold(limit), _EPOCHS)
 
 
-def rotation(records: DataFrame, limit: int) -> DataFrame:
-    """(store_id, log_index, bytes, epoch): the log segment a record is written to, from 1; a segment is closed once it has ``limit`` bytes.
+def rotation(records: DataFrame, limit: int, keep: Sequence[str] = ()) -> DataFrame:
+    """(store_id, log_index, bytes, keep..., epoch): the log segment a record is written to, from 1; a segment is closed once it has ``limit`` bytes.
 
-    Each segment's start depends on the end of the one before, so a store is one pass; it steps over segment ends only.
+    Each segment's start depends on the end of the one before, so a store is one pass; it steps over segment ends only. The rows
+    of a store stay together, in the order of their indexes.
     """
-    sized = records.select("store_id", "log_index", wal_bytes(F.col("key_bytes"), F.col("value_bytes")).alias("bytes"))
-    return sized.repartition("store_id").sortWithinPartitions("store_id", "log_index").mapInArrow(_steps(limit), _EPOCHS)
+    sized = records.select("store_id", "log_index", wal_bytes(F.col("key_bytes"), F.col("value_bytes")).alias("bytes"), *keep)
+    schema = T.StructType([*sized.schema.fields, T.StructField("epoch", T.LongType())])
+    return sized.repartition("store_id").sortWithinPartitions("store_id", "log_index").mapInArrow(_steps(limit), schema)
 
 
 def epoch_summary(epochs: DataFrame) -> DataFrame:

@@ -64,12 +64,17 @@ def key_prefix(versions: DataFrame, prefix: bytes) -> DataFrame:
 def multi_get(wanted: DataFrame, resolved: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Every wanted key once, with ``found`` and its value; tombstones and missing keys are not found.
 
-    A left join on the key; Spark broadcasts the wanted keys' side only if it is measured to be small.
+    A left join on the key. ``resolved`` need have the wanted keys only, see wanted_only.
     """
     state = live(resolved).select(*keys, "value_bytes", F.lit(True).alias("found"))
     return wanted.select(*keys).distinct().join(state, list(keys), "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def wanted_only(versions: DataFrame, wanted: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """The versions of wanted keys. Before a resolution it spares all others' shuffle and comparison; the keys are reduced to one row each."""
+    return versions.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def read_amplification(versions: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """For each key: its versions, and the runs that hold one."""
     by_run = versions.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n"))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mergestone.config import default_config
+from mergestone.engine import Engine
+from mergestone.functions.layout import pack_be
 from mergestone.operators import compaction, levels, log, memtable, runs, versions
 from mergestone.operators.log_records import valid_records
 from mergestone.plans.problems import _VALID, _read
-from mergestone.session import shared_path
+from mergestone.session import materialize, shared_path
 
 #: Keys that the point reads ask for.
 HOT, FLAGS, PREFIX = b"HB", b"cfg/feature-flags", b"tmp/job-"
@@ -51,8 +55,16 @@ def _memory(spark: SparkSession, sf: str) -> DataFrame:
     return memtable.apply_log(log.after_mark(_valid(spark, sf), _read(spark, sf, "wal_meta")))
 
 
-def _engine(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.resolve_by_tier(levels.engine_versions(_memory(spark, sf), _entries(spark, sf), _meta(spark, sf)))
+def _tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The entries of all runs and the runs' statistics, from one pass over the versions."""
+    entries = materialize(_entries(spark, sf), "run-entries")
+    return entries, runs.run_meta(entries)
+
+
+def _engine(spark: SparkSession, sf: str, few: bool = False) -> DataFrame:
+    """What the engine resolves to. Where a condition leaves ``few`` keys, it goes down to the scan; else the runs are read once."""
+    entries, meta = (_entries(spark, sf), _meta(spark, sf)) if few else _tree(spark, sf)
+    return versions.resolve_by_tier(levels.engine_versions(_memory(spark, sf), entries, meta))
 
 
 # ------------------------------------------------------------------------------------ memtable and reads
@@ -73,7 +85,7 @@ def memtable_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kv_point_get(spark: SparkSession, sf: str) -> DataFrame:
-    return memtable.get(_engine(spark, sf), HOT).select(_store(), _key(), _value())
+    return memtable.get(_engine(spark, sf, few=True), HOT).select(_store(), _key(), _value())
 
 
 def kv_point_get_t(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +93,8 @@ def kv_point_get_t(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kv_multi_get(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.multi_get(_read(spark, sf, "kvpair_primary"), _engine(spark, sf)).select(_store(), _key(), _value(), "found")
+    wanted, through = _read(spark, sf, "kvpair_primary"), levels.engine_versions(_memory(spark, sf), *_tree(spark, sf))
+    return versions.multi_get(wanted, versions.resolve_by_tier(versions.wanted_only(through, wanted))).select(_store(), _key(), _value(), "found")
 
 
 # ------------------------------------------------------------------------------------ log
@@ -120,10 +133,9 @@ def wal_file_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
     register(spark)
     folder = shared_path(spark, "wal-files")
-    valid, epochs = _valid(spark, sf), memtable.rotation(_valid(spark, sf), 64 * SEGMENT_LIMIT)
-    rows = valid.join(epochs.select("store_id", "log_index", F.col("epoch").cast("int").alias("segment")), ["store_id", "log_index"])
-    rows = rows.select(F.format_string("store-%04d", "store_id").alias("folder"), "segment", "term", "log_index", F.col("op_type").cast("int").alias("op_type"), "key_bytes", "value_bytes")
-    rows.repartition("folder", "segment").sortWithinPartitions("folder", "segment", "log_index").write.format("wal").mode("append").save(folder)
+    rows = memtable.rotation(_valid(spark, sf), 64 * SEGMENT_LIMIT, ["term", "op_type", "key_bytes", "value_bytes"])
+    rows = rows.select(F.format_string("store-%04d", "store_id").alias("folder"), F.col("epoch").cast("int").alias("segment"), "term", "log_index", "op_type", "key_bytes", "value_bytes")
+    rows.write.format("wal").mode("append").save(folder)
     back = spark.read.format("wal").load(folder)
     return back.select(F.regexp_extract("path", r"store-(\d+)/", 1).cast("long").alias("store_id"), "term", "log_index", F.col("op_type").cast("int").alias("op_type"), _key(), F.coalesce(_value(), F.lit("")).alias("value_hex"))
 
@@ -157,21 +169,39 @@ def bloom_no_false_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return runs.bloom_probe(_entries(spark, sf)).groupBy("level").agg(F.sum("keys").alias("n_keys"), F.sum("rejected").alias("rejected"), F.sum("false_positives").alias("false_positives"))
 
 
-def sst_file_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """The entries of all runs written as binary run files and read back."""
+def _run_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries of all runs written as binary run files, to be read."""
     from mergestone.sources.readers import register
 
     register(spark)
     folder = shared_path(spark, "sst-files")
     rows = _entries(spark, sf).select(F.format_string("L%d/%06d.sst", "level", "run").alias("file"), "key_bytes", "value_bytes", "tombstone", "ts")
     rows.repartition("file").sortWithinPartitions("file", "key_bytes").write.format("sst").mode("append").save(folder)
-    back = spark.read.format("sst").load(folder)
-    return back.select(F.regexp_extract("path", r"(\d+)\.sst$", 1).cast("long").alias("sst_id"), _key(), F.coalesce(_value(), F.lit("")).alias("value_hex"), "tombstone", "ts")
+    return spark.read.format("sst").load(folder)
+
+
+def _from_runs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.regexp_extract("path", r"(\d+)\.sst$", 1).cast("long").alias("sst_id"), _key(), F.coalesce(_value(), F.lit("")).alias("value_hex"), "tombstone", "ts")
+
+
+def sst_file_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return _from_runs(_run_files(spark, sf))
+
+
+def sst_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys looked up in the binary runs: range, filter, sparse index and a block of each."""
+    return _from_runs(_run_files(spark, sf).where(F.col("key_bytes").isin(HOT, FLAGS)))
+
+
+def sst_scan_range(spark: SparkSession, sf: str) -> DataFrame:
+    """A range of keys in the binary runs, from the block of its first key on."""
+    return _from_runs(_run_files(spark, sf).where((F.col("key_bytes") >= F.lit(b"cfg/")) & (F.col("key_bytes") < F.lit(b"q"))))
 
 
 # ------------------------------------------------------------------------------------ levels
 def l0_newest_first(spark: SparkSession, sf: str) -> DataFrame:
-    zero = levels.tiered_get(_entries(spark, sf).where("level = 0"), _meta(spark, sf).where("level = 0"))
+    entries, meta = _tree(spark, sf)
+    zero = levels.tiered_get(entries.where("level = 0"), meta.where("level = 0"))
     return zero.select(_store(), _key(), F.col("run").alias("sst_id"), "tombstone")
 
 
@@ -180,7 +210,7 @@ def l1_route(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lsm_tiered_get(spark: SparkSession, sf: str) -> DataFrame:
-    return levels.tiered_get(_entries(spark, sf), _meta(spark, sf)).select(_store(), _key(), F.col("level").alias("sst_level"), F.col("run").alias("sst_id"), "tombstone")
+    return levels.tiered_get(*_tree(spark, sf)).select(_store(), _key(), F.col("level").alias("sst_level"), F.col("run").alias("sst_id"), "tombstone")
 
 
 def lsm_visible(spark: SparkSession, sf: str) -> DataFrame:
@@ -215,26 +245,80 @@ def compaction_inputs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compaction_output(spark: SparkSession, sf: str) -> DataFrame:
-    entries = _entries(spark, sf)
-    merged = compaction.merge(entries, compaction.inputs(runs.run_meta(entries)))
+    entries, meta = _tree(spark, sf)
+    merged = compaction.merge(entries, compaction.inputs(meta))
     return merged.select(_store(), _key(), _value(), "tombstone", "ts")
 
 
 def manifest_after_compaction(spark: SparkSession, sf: str) -> DataFrame:
-    entries = _entries(spark, sf)
-    meta = runs.run_meta(entries)
+    entries, meta = _tree(spark, sf)
     chosen = compaction.inputs(meta)
     after = compaction.manifest_after(meta, chosen, compaction.merge(entries, chosen))
     return after.select(*_run_id(), "entry_count", _hex("min_key", "min_hex"), _hex("max_key", "max_hex"))
 
 
+# ------------------------------------------------------------------------------------ the engine itself
+def _operations(spark: SparkSession, sf: str) -> DataFrame:
+    """The valid records as operations on one key space: the store's number in four bytes, then the key."""
+    return _valid(spark, sf).select("log_index", _composed(), "value_bytes", (F.col("op_type") == 2).alias("delete"))
+
+
+def _composed() -> Column:
+    return F.concat(pack_be(F.col("store_id"), 4), F.col("key_bytes")).alias("key_bytes")
+
+
+def _parted(rows: DataFrame, *more: Column | str) -> DataFrame:
+    number = F.conv(F.hex(F.substring("key_bytes", 1, 4)), 16, 10).cast("long").alias("store_id")
+    return rows.select(number, F.lower(F.hex(F.expr("substring(key_bytes, 5)"))).alias("key_hex"), _value(), *more)
+
+
+def _filled_engine(spark: SparkSession, sf: str) -> Engine:
+    """An engine that took the log in five batches, flushed four of them, compacted their runs, and was opened again before the last."""
+    ops, root = materialize(_operations(spark, sf), "operations"), shared_path(spark, "engine")
+    cuts = ops.agg(F.percentile_approx("log_index", [0.2, 0.4, 0.6, 0.8]).alias("c")).first()["c"] or []
+    bounds = [None, *cuts, None]
+    config = default_config(root)
+    for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        part = ops if low is None else ops.where(F.col("log_index") > low)
+        part = part if high is None else part.where(F.col("log_index") <= high)
+        engine = Engine(spark, config if i == len(cuts) else replace(config, memtable_bytes=1))
+        engine.apply(part, "log_index")
+    return engine
+
+
+def engine_store(spark: SparkSession, sf: str) -> DataFrame:
+    """All live keys, read through memtable and levels."""
+    return _parted(_filled_engine(spark, sf).full_snapshot())
+
+
+def engine_multi_get(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = _read(spark, sf, "kvpair_primary").select(_composed())
+    return _parted(_filled_engine(spark, sf).multi_get(wanted), "found")
+
+
+def engine_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The live keys of the memtable alone, all records being in it."""
+    engine = Engine(spark, default_config(shared_path(spark, "engine")))
+    engine.apply(_operations(spark, sf), "log_index")
+    return _parted(engine.snapshot())
+
+
+def engine_log_files(spark: SparkSession, sf: str) -> DataFrame:
+    """An engine's log, with the indexes it gave, written as binary segments and read back."""
+    engine, folder = Engine(spark, replace(default_config(shared_path(spark, "engine")), wal_segment_bytes=64 * SEGMENT_LIMIT)), shared_path(spark, "engine-log")
+    engine.apply(_operations(spark, sf), "log_index")
+    engine.export_log(folder)
+    back = spark.read.format("wal").load(folder)
+    return _parted(back.withColumn("value_bytes", F.coalesce("value_bytes", F.lit(b""))), "log_index", F.col("op_type").cast("int").alias("op_type"))
+
+
 # ------------------------------------------------------------------------------------ extensions
 def ext_range_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.live(versions.key_range(_engine(spark, sf), b"cfg/", b"q")).select(_store(), _key(), _value())
+    return versions.live(versions.key_range(_engine(spark, sf, few=True), b"cfg/", b"q")).select(_store(), _key(), _value())
 
 
 def ext_prefix_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.live(versions.key_prefix(_engine(spark, sf), PREFIX)).select(_store(), _key(), _value())
+    return versions.live(versions.key_prefix(_engine(spark, sf, few=True), PREFIX)).select(_store(), _key(), _value())
 
 
 def ext_as_of_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,9 +338,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         kv_live_snapshot, kv_memtable_snapshot, memtable_entries_all, memtable_sizes, kv_point_get, kv_point_get_t, kv_multi_get,
         wal_segments, wal_next_numbers, wal_recover_truncated, wal_stop_at_damage, wal_crc32, wal_rotation, flush_epochs, wal_file_round_trip,
-        sst_meta, sst_sparse_index, sst_entry_offsets, sst_range_prune, bloom_sizing, bloom_no_false_negatives, sst_file_round_trip,
+        sst_meta, sst_sparse_index, sst_entry_offsets, sst_range_prune, bloom_sizing, bloom_no_false_negatives, sst_file_round_trip, sst_lookup, sst_scan_range,
         l0_newest_first, l1_route, lsm_tiered_get, lsm_visible, manifest_levels, read_amplification,
         merge_dedup, merge_tie_break, compaction_key_range, compaction_inputs, compaction_output, manifest_after_compaction,
+        engine_store, engine_multi_get, engine_snapshot, engine_log_files,
         ext_range_scan, ext_prefix_scan, ext_as_of_index, stream_latest,
     )
 }
@@ -360,3 +445,14 @@ ORACLE_SQL: dict[str, str] = {
     "ext_as_of_index": f"""WITH {_VALID} SELECT {_S}, {_K}, log_index FROM (SELECT *, row_number() OVER (PARTITION BY store_id, key_bytes ORDER BY log_index DESC) AS r FROM valid WHERE log_index <= 2500) WHERE r = 1 AND op_type = 1""",
     "stream_latest": f"""SELECT {_S}, {_K}, max(log_index) AS log_index FROM wal_entry WHERE op_type IN (1, 2) AND key_bytes IS NOT NULL GROUP BY store_id, key_bytes""",
 }
+_FROM_RUNS = f"WITH {_RUNS} SELECT run AS sst_id, {_K}, coalesce(lower(hex(value_bytes)), '') AS value_hex, tombstone, ts FROM entries WHERE"
+ORACLE_SQL |= {
+    "sst_lookup": f"{_FROM_RUNS} key_bytes IN ('HB'::BLOB, 'cfg/feature-flags'::BLOB)",
+    "sst_scan_range": f"{_FROM_RUNS} key_bytes >= 'cfg/'::BLOB AND key_bytes < 'q'::BLOB",
+    "engine_store": f"WITH {_LOG} SELECT {_S}, {_K}, {_V} FROM latest WHERE NOT tombstone",
+    "engine_snapshot": f"WITH {_LOG} SELECT {_S}, {_K}, {_V} FROM latest WHERE NOT tombstone",
+    "engine_multi_get": f"""WITH {_LOG} SELECT CAST(w.store_id AS BIGINT) AS store_id, lower(hex(w.key_bytes)) AS key_hex, lower(hex(e.value_bytes)) AS value_hex, e.store_id IS NOT NULL AS found
+        FROM (SELECT DISTINCT store_id, key_bytes FROM kvpair_primary) w LEFT JOIN (SELECT * FROM latest WHERE NOT tombstone) e ON w.store_id = e.store_id AND w.key_bytes = e.key_bytes""",
+    "engine_log_files": f"""WITH {_VALID} SELECT {_S}, {_K}, coalesce(lower(hex(value_bytes)), '') AS value_hex, row_number() OVER (ORDER BY log_index, store_id) AS log_index,
+        CAST(op_type AS INTEGER) AS op_type FROM valid""",
+}

@@ -95,15 +95,23 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Bytes of input, as the optimizer estimates them, for each task behind a shuffle.
+#: Bytes of input files for each task behind a shuffle.
 TASK_BYTES = 128 << 20
 #: More tasks than this cost the driver more than they save.
 MOST_TASKS = 100_000
 
 
+#: What the optimizer says of a relation whose size it doesn't know is beyond this.
+_UNKNOWN = 1 << 60
+
+
 def tasks_for(*frames: DataFrame) -> int:
-    """Tasks for a shuffle of these frames: the session's number, more where their estimated size asks for it. Runs no job."""
-    size = sum(int(str(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for f in frames)
+    """Tasks for a shuffle of these frames: the session's number, more where the size of the files they read asks for it. Runs no job."""
+    size = 0
+    for f in frames:
+        leaves = f._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        size += sum(n for n in sizes if n < _UNKNOWN)
     return max(parallelism(frames[0].sparkSession), min(MOST_TASKS, math.ceil(size / TASK_BYTES)))
 
 

@@ -284,6 +284,7 @@ class SstSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes both formats known to a session."""
+    """Makes both formats known to a session, and lets conditions on keys go down to the runs."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (WalSource, SstSource):
         spark.dataSource.register(source)
