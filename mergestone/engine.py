@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergestone.config import L0_TRIGGER, LEVELS, MAX_KEY_BYTES, StorageConfig, default_config
+from mergestone.config import L0_TRIGGER, LEVELS, MAX_KEY_BYTES, MEMTABLE_OVERHEAD, WAL_OVERHEAD, StorageConfig, default_config
 from mergestone.errors import ConcurrentUpdate, CorruptFile, EngineClosed, KeyTooLong
 from mergestone.functions.layout import memtable_bytes, wal_bytes
 from mergestone.operators.offsets import global_offsets
@@ -170,6 +170,9 @@ class Engine:
         return self._one(key, None, True)
 
     def should_flush(self) -> bool:
+        """Whether the memtable's live entries have reached its limit. They are summed up only if all records together could have."""
+        if sum(c["bytes"] + (MEMTABLE_OVERHEAD - WAL_OVERHEAD) * c["n"] for c in self._commits(self.truncated_before)) < self.config.memtable_bytes:
+            return False
         size = self.memtable().agg(F.sum(memtable_bytes(F.col("key_bytes"), F.col("value_bytes"))).alias("b")).first()["b"]
         return (size or 0) >= self.config.memtable_bytes
 

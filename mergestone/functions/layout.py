@@ -45,14 +45,5 @@ def wal_record(payload: Column) -> Column:
     return F.concat(pack_be(F.octet_length(payload) + 4, 4), pack_be(F.crc32(payload), 4), payload)
 
 
-def segment_name(number: Column) -> Column:
-    return F.format_string("wal-%06d.log", number)
-
-
-def segment_number(path: Column) -> Column:
-    """The number in a path .../wal-<number>.log, or null."""
-    return F.regexp_extract(path, r"wal-(\d+)\.log$", 1).try_cast("int")
-
-
 def run_name(level: Column, number: Column) -> Column:
     return F.format_string("L%d/%06d.sst", level, number)

@@ -36,6 +36,7 @@ BLOCK = T.StructType(
     ]
 )
 
+_U32 = struct.Struct(">I")
 _NUMBER = r"(?is)(?:^|[/\\])[\s\p{Z}]*([0-9]+)\.sst[\s\p{Z}]*$"
 _LEVEL = r"(?is)(?:^|[/\\])l([0-9]+)[/\\][^/\\]*$"
 
@@ -65,20 +66,23 @@ def encode_record() -> Column:
     return F.concat(_be(flags, 1), _be(F.col("ts"), 8), _be(F.col("log_index"), 8), _be(F.octet_length(key), 4), key, _be(F.octet_length(value), 4), value)
 
 
-def decode_records(data: bytes) -> Iterator[tuple]:
-    """(key, value, tombstone, ts, log_index) of each record in ``data``; the inverse of encode_record."""
-    at, head, size = 0, struct.Struct(">BqqI"), struct.Struct(">I")
+def decode_records(data: bytes) -> list:
+    """The records in ``data`` as Arrow columns key_bytes, value_bytes, tombstone, ts, log_index; the inverse of encode_record."""
+    import numpy as np
+    import pyarrow as pa
+
+    starts, keys, values, at = [], [], [], 0
     while at < len(data):
-        flags, ts, index, n = head.unpack_from(data, at)
-        at += head.size
-        key = data[at : at + n]
-        at += n
-        (n,) = size.unpack_from(data, at)
-        at += size.size
-        value = data[at : at + n]
-        at += n
-        null = lambda bit, x: None if flags >> bit & 1 else x  # noqa: E731, B023
-        yield null(0, key), null(1, value), null(2, bool(flags >> 5 & 1)), null(3, ts), null(4, index)
+        k = at + 21 + _U32.unpack_from(data, at + 17)[0]
+        v = k + 4 + _U32.unpack_from(data, k)[0]
+        starts.append(at)
+        keys.append(data[at + 21 : k])
+        values.append(data[k + 4 : v])
+        at = v
+    fixed = np.frombuffer(data, dtype=np.uint8)[np.array(starts, dtype=np.int64)[:, None] + np.arange(17)]
+    flags, numbers = fixed[:, 0], np.ascontiguousarray(fixed[:, 1:]).view(">i8").astype(np.int64)
+    columns = ((keys, pa.binary()), (values, pa.binary()), (flags >> 5 & 1 == 1, pa.bool_()), (numbers[:, 0], pa.int64()), (numbers[:, 1], pa.int64()))
+    return [pa.array(c, t, mask=flags >> bit & 1 == 1) for bit, (c, t) in enumerate(columns)]
 
 
 def listed_versions(sst_info: DataFrame, sst_entry: DataFrame) -> DataFrame:
@@ -187,28 +191,42 @@ def unpack_archive(archive: DataFrame, where: Column | None = None) -> DataFrame
 
     A member whose bytes don't match its checksum fails the task. Blocks are read in parallel, members independently.
     """
-    schema = "store_id int, sst_level long, sst_id long, sst_path string, key_bytes binary, value_bytes binary, tombstone boolean, ts long, log_index long"
-    members = archive.select("store_id", "sst_level", "block", "payload", F.explode("members").alias("m")).select("store_id", "sst_level", "block", "m.*", "payload")
     if where is not None:
-        members = members.where(where)
-    cut = members.select("store_id", "sst_level", "sst_id", "sst_path", "crc32", F.expr("substring(payload, cast(offset + 1 as int), cast(length as int))").alias("bytes"))
+        wanted = archive_index(archive).where(where).groupBy("block").agg(F.collect_list(F.struct(*MEMBER.names)).alias("members"))
+        archive = archive.drop("members").join(wanted, "block")
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         names = ["store_id", "sst_level", "sst_id", "sst_path", "key_bytes", "value_bytes", "tombstone", "ts", "log_index"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()]
         for b in batches:
-            columns: list[list] = [[] for _ in names]
-            for m in b.to_pylist():
-                if zlib.crc32(m["bytes"]) != m["crc32"]:
-                    raise ValueError(f"checksum of {m['sst_path']} doesn't match")
-                for record in decode_records(m["bytes"]):
-                    for c, x in zip(columns, (m["store_id"], m["sst_level"], m["sst_id"], m["sst_path"], *record)):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    return cut.mapInArrow(read, schema)
+            for store, level, members, payload in zip(*(b.column(c).to_pylist() for c in ("store_id", "sst_level", "members", "payload"))):
+                for m in members:
+                    data = payload[m["offset"] : m["offset"] + m["length"]]
+                    if zlib.crc32(data) != m["crc32"]:
+                        raise ValueError(f"checksum of {m['sst_path']} doesn't match")
+                    if not data:
+                        continue
+                    columns = decode_records(data)
+                    same = zip((store, level, m["sst_id"], m["sst_path"]), (pa.int32(), pa.int64(), pa.int64(), pa.string()))
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(columns[0]), t) for x, t in same), *columns], names=names)
+
+    def joined(batches: Iterator) -> Iterator:
+        """Members are small; their rows go on in batches of some thousands."""
+        import pyarrow as pa
+
+        held, n = [], 0
+        for b in read(batches):
+            held.append(b)
+            n += b.num_rows
+            if n >= 8_192:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    schema = "store_id int, sst_level long, sst_id long, sst_path string, key_bytes binary, value_bytes binary, tombstone boolean, ts long, log_index long"
+    return archive.select("store_id", "sst_level", "members", "payload").mapInArrow(joined, schema)
 
 
 def small_files(archive: DataFrame, fewer_than: int = 64) -> DataFrame:

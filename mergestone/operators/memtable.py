@@ -39,23 +39,39 @@ def sizes(entries: DataFrame) -> DataFrame:
 
 
 def _fold(limit: int):
-    """Walks a partition sorted by (store, index) and numbers the epochs: state is (store, epoch, its first index, its size)."""
+    """Walks a partition sorted by (store, index) from one memtable's end to the next: state is (store, epoch, its first index, its size).
+
+    Within a memtable each record adds its bytes less those of the version it replaces there, so the end is the first place
+    where the running sum reaches the limit; it is looked for in growing stretches.
+    """
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         store, epoch, start, size = None, 0, 0, 0
         for b in batches:
-            col = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-            out = []
-            for s, index, n, prev, prev_n in zip(col["store_id"], col["log_index"], col["bytes"], col["before_index"], col["before_bytes"]):
-                if s != store:
-                    store, epoch, start, size = s, 1, index, 0
-                elif size >= limit:
-                    epoch, start, size = epoch + 1, index, 0
-                size += n - (prev_n if prev is not None and prev >= start else 0)
-                out.append(epoch)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.int64())], names=["store_id", "log_index", "bytes", "epoch"])
+            stores, index, sizes = (b.column(c).to_numpy(zero_copy_only=False) for c in ("store_id", "log_index", "bytes"))
+            replaces = ~np.asarray(pc.is_null(b.column("before_index")))
+            before, back = (np.asarray(pc.fill_null(b.column(c), 0)) for c in ("before_index", "before_bytes"))
+            out = np.empty(len(sizes), np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(stores)) + 1).tolist(), len(stores)]
+            for a, z in zip(cuts, cuts[1:]):
+                if a < z and stores[a] != store:
+                    store, epoch, start, size = stores[a], 1, index[a], 0
+                step = 256
+                while a < z:
+                    if size >= limit:
+                        epoch, start, size, step = epoch + 1, index[a], 0, 256
+                    stop = min(z, a + step)
+                    sums = size + np.cumsum(sizes[a:stop] - np.where(replaces[a:stop] & (before[a:stop] >= start), back[a:stop], 0))
+                    full = np.flatnonzero(sums >= limit)
+                    if len(full):
+                        stop = a + int(full[0]) + 1  # the record that fills it belongs to it
+                    out[a:stop] = epoch
+                    size, a, step = int(sums[stop - a - 1]), stop, 2 * step
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out)], names=["store_id", "log_index", "bytes", "epoch"])
 
     return run
 

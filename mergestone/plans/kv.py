@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mergestone.config import default_config
 from mergestone.engine import Engine
-from mergestone.functions.layout import pack_be
+from mergestone.functions.layout import pack_be, run_name, unpack_be, wal_payload
 from mergestone.operators import compaction, levels, log, memtable, runs, versions
 from mergestone.operators.log_records import valid_records
 from mergestone.plans.problems import _VALID, _read
@@ -119,6 +119,12 @@ def wal_crc32(spark: SparkSession, sf: str) -> DataFrame:
     return log.with_checksum(_valid(spark, sf)).select(_store(), "log_index", "crc32", F.octet_length("record").cast("long").alias("n_bytes"))
 
 
+def wal_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Each valid record as the bytes of its payload."""
+    payload = wal_payload(*(F.col(c) for c in ("term", "log_index", "op_type", "key_bytes", "value_bytes")))
+    return _valid(spark, sf).select(_store(), "log_index", F.lower(F.hex(payload)).alias("payload_hex"))
+
+
 def wal_rotation(spark: SparkSession, sf: str) -> DataFrame:
     return memtable.epoch_summary(memtable.rotation(_valid(spark, sf), SEGMENT_LIMIT)).select(_store(), F.col("epoch").alias("segment_no"), F.col("records").alias("n_records"), "first_index", "last_index", F.col("bytes").alias("n_bytes"))
 
@@ -175,7 +181,7 @@ def _run_files(spark: SparkSession, sf: str) -> DataFrame:
 
     register(spark)
     folder = shared_path(spark, "sst-files")
-    rows = _entries(spark, sf).select(F.format_string("L%d/%06d.sst", "level", "run").alias("file"), "key_bytes", "value_bytes", "tombstone", "ts")
+    rows = _entries(spark, sf).select(run_name(F.col("level"), F.col("run")).alias("file"), "key_bytes", "value_bytes", "tombstone", "ts")
     rows.repartition("file").sortWithinPartitions("file", "key_bytes").write.format("sst").mode("append").save(folder)
     return spark.read.format("sst").load(folder)
 
@@ -184,6 +190,11 @@ def _from_runs(rows: DataFrame) -> DataFrame:
     return rows.select(F.regexp_extract("path", r"(\d+)\.sst$", 1).cast("long").alias("sst_id"), _key(), F.coalesce(_value(), F.lit("")).alias("value_hex"), "tombstone", "ts")
 
 
+def bloom_keys_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The keys each run's filter was given, and how many of them it doesn't know: none."""
+    return runs.bloom_probe(_entries(spark, sf)).select(*_run_id(), F.col("keys").alias("n_keys"), "rejected")
+
+
 def sst_file_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return _from_runs(_run_files(spark, sf))
 
@@ -268,14 +279,14 @@ def _composed() -> Column:
 
 
 def _parted(rows: DataFrame, *more: Column | str) -> DataFrame:
-    number = F.conv(F.hex(F.substring("key_bytes", 1, 4)), 16, 10).cast("long").alias("store_id")
-    return rows.select(number, F.lower(F.hex(F.expr("substring(key_bytes, 5)"))).alias("key_hex"), _value(), *more)
+    return rows.select(unpack_be(F.col("key_bytes"), 0, 4).alias("store_id"), F.lower(F.hex(F.expr("substring(key_bytes, 5)"))).alias("key_hex"), _value(), *more)
 
 
 def _filled_engine(spark: SparkSession, sf: str) -> Engine:
     """An engine that took the log in five batches, flushed four of them, compacted their runs, and was opened again before the last."""
     ops, root = materialize(_operations(spark, sf), "operations"), shared_path(spark, "engine")
-    cuts = ops.agg(F.percentile_approx("log_index", [0.2, 0.4, 0.6, 0.8]).alias("c")).first()["c"] or []
+    ends = ops.agg(F.min("log_index").alias("low"), F.max("log_index").alias("high")).first()
+    cuts = [] if ends["low"] is None else [ends["low"] + (ends["high"] - ends["low"]) * k // 5 for k in range(1, 5)]
     bounds = [None, *cuts, None]
     config = default_config(root)
     for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
@@ -296,6 +307,16 @@ def engine_multi_get(spark: SparkSession, sf: str) -> DataFrame:
     return _parted(_filled_engine(spark, sf).multi_get(wanted), "found")
 
 
+def engine_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog's newest document as a table: four flushed runs have become one of level 1."""
+    from mergestone.sources.manifest import RUNS
+
+    document = _filled_engine(spark, sf).manifest.document
+    doc = spark.read.schema(RUNS).json(document.path())
+    run = doc.select("nextSSTableId", F.explode("sstables").alias("r"))
+    return run.select(F.col("nextSSTableId").alias("next_id"), F.col("r.level").cast("long").alias("sst_level"), "r.entry_count", *[F.lower(f"r.{c}").alias(f"{c[:3]}_hex") for c in ("min_key", "max_key")])
+
+
 def engine_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """The live keys of the memtable alone, all records being in it."""
     engine = Engine(spark, default_config(shared_path(spark, "engine")))
@@ -337,11 +358,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         kv_live_snapshot, kv_memtable_snapshot, memtable_entries_all, memtable_sizes, kv_point_get, kv_point_get_t, kv_multi_get,
-        wal_segments, wal_next_numbers, wal_recover_truncated, wal_stop_at_damage, wal_crc32, wal_rotation, flush_epochs, wal_file_round_trip,
-        sst_meta, sst_sparse_index, sst_entry_offsets, sst_range_prune, bloom_sizing, bloom_no_false_negatives, sst_file_round_trip, sst_lookup, sst_scan_range,
+        wal_segments, wal_next_numbers, wal_recover_truncated, wal_stop_at_damage, wal_crc32, wal_payloads, wal_rotation, flush_epochs, wal_file_round_trip,
+        sst_meta, sst_sparse_index, sst_entry_offsets, sst_range_prune, bloom_sizing, bloom_no_false_negatives, bloom_keys_kept, sst_file_round_trip, sst_lookup, sst_scan_range,
         l0_newest_first, l1_route, lsm_tiered_get, lsm_visible, manifest_levels, read_amplification,
         merge_dedup, merge_tie_break, compaction_key_range, compaction_inputs, compaction_output, manifest_after_compaction,
-        engine_store, engine_multi_get, engine_snapshot, engine_log_files,
+        engine_store, engine_multi_get, engine_manifest, engine_snapshot, engine_log_files,
         ext_range_scan, ext_prefix_scan, ext_as_of_index, stream_latest,
     )
 }
@@ -449,6 +470,14 @@ _FROM_RUNS = f"WITH {_RUNS} SELECT run AS sst_id, {_K}, coalesce(lower(hex(value
 ORACLE_SQL |= {
     "sst_lookup": f"{_FROM_RUNS} key_bytes IN ('HB'::BLOB, 'cfg/feature-flags'::BLOB)",
     "sst_scan_range": f"{_FROM_RUNS} key_bytes >= 'cfg/'::BLOB AND key_bytes < 'q'::BLOB",
+    "bloom_keys_kept": f"WITH {_RUNS} SELECT {_R}, entry_count AS n_keys, CAST(0 AS BIGINT) AS rejected FROM meta",
+    "wal_payloads": """WITH valid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id, log_index ORDER BY coalesce(term, 0) DESC, op_type DESC) AS n
+          FROM wal_entry WHERE op_type IN (1, 2) AND key_bytes IS NOT NULL) WHERE n = 1)
+        SELECT CAST(store_id AS BIGINT) AS store_id, log_index, printf('%016x%016x%02x%04x', coalesce(term, 0), log_index, op_type, octet_length(key_bytes)) || lower(hex(key_bytes)) || coalesce(lower(hex(value_bytes)), '') AS payload_hex
+        FROM valid""",
+    "engine_manifest": f"""WITH {_VALID}, ends AS (SELECT min(log_index) + (max(log_index) - min(log_index)) * 4 // 5 AS cut FROM valid),
+        keys AS (SELECT DISTINCT printf('%08x', store_id) || lower(hex(key_bytes)) AS k FROM valid, ends WHERE log_index <= cut)
+        SELECT CAST(6 AS BIGINT) AS next_id, CAST(1 AS BIGINT) AS sst_level, count(*) AS entry_count, min(k) AS min_hex, max(k) AS max_hex FROM keys""",
     "engine_store": f"WITH {_LOG} SELECT {_S}, {_K}, {_V} FROM latest WHERE NOT tombstone",
     "engine_snapshot": f"WITH {_LOG} SELECT {_S}, {_K}, {_V} FROM latest WHERE NOT tombstone",
     "engine_multi_get": f"""WITH {_LOG} SELECT CAST(w.store_id AS BIGINT) AS store_id, lower(hex(w.key_bytes)) AS key_hex, lower(hex(e.value_bytes)) AS value_hex, e.store_id IS NOT NULL AS found

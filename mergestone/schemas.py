@@ -1,19 +1,4 @@
-"""Explicit schemas of the tables the engine reads and writes. Nothing is inferred."""
-
-from __future__ import annotations
-
-from pyspark.sql import types as T
-
-
-def _struct(**fields: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
-
-
-#: One version of a key. ``seq`` is the log index of the record that wrote it and orders versions.
-VERSION = _struct(store_id=T.IntegerType(), key_bytes=T.BinaryType(), value_bytes=T.BinaryType(), tombstone=T.BooleanType(), ts=T.LongType(), log_index=T.LongType())
-ENTRY = _struct(key_bytes=T.BinaryType(), value_bytes=T.BinaryType(), tombstone=T.BooleanType(), ts=T.LongType())
-LOG_RECORD = _struct(segment=T.IntegerType(), term=T.LongType(), log_index=T.LongType(), op_type=T.ByteType(), key_bytes=T.BinaryType(), value_bytes=T.BinaryType())
-RUN_META = _struct(sst_path=T.StringType(), sst_level=T.IntegerType(), entry_count=T.LongType(), data_bytes=T.LongType(), min_key=T.BinaryType(), max_key=T.BinaryType())
+"""Fixed values of the log."""
 
 #: Operation types of a log record (fixed values).
 PUT, DELETE = 1, 2

@@ -54,6 +54,10 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise ConcurrentUpdate(f"{source} couldn't become {target}")
 
 
+def _is_local(fs) -> bool:
+    return fs.getUri().getScheme() == "file"
+
+
 def create_new(spark: SparkSession, path: str, data: bytes, sync: bool = True) -> bool:
     """Creates a file with these bytes in one step; False, and nothing changes, if there is one already.
 
@@ -63,7 +67,7 @@ def create_new(spark: SparkSession, path: str, data: bytes, sync: bool = True) -
     fs, target = _fs(spark, path)
     part = f"{path}.{uuid.uuid4().hex}.part"
     fs.mkdirs(target.getParent())
-    if fs.getUri().getScheme() == "file":
+    if _is_local(fs):
         here, there = (_fs(spark, x)[1].toUri().getPath() for x in (part, path))
         with open(here, "wb") as f:
             f.write(data)
@@ -119,6 +123,11 @@ class Document:
     def versions(self) -> list[int]:
         return [int(n[:-5]) for n in children(self.spark, self.folder) if n.endswith(".json")]
 
+    def path(self) -> str | None:
+        """The file of the newest version."""
+        there = self.versions()
+        return self._path(there[-1]) if there else None
+
     def load(self) -> tuple[int, dict | None]:
         """(version, document); (0, None) if there is none. A damaged one is an error, not an empty one."""
         while True:

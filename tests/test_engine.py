@@ -242,3 +242,13 @@ def test_refused_renames_raise(spark, tmp_path):
     with pytest.raises(Exception, match="."):
         files.rename(spark, str(tmp_path / "none"), str(tmp_path / "c"))
     assert not files.create_new(spark, str(tmp_path / "b"), b"x") and (tmp_path / "b").read_text() == "b"
+
+
+def test_exclusive_creation_by_rename(spark, tmp_path, monkeypatch):
+    """As on file systems that aren't local."""
+    monkeypatch.setattr(files, "_is_local", lambda fs: False)
+    path = f"file://{tmp_path}/x/000000000001.json"
+    assert files.create_new(spark, path, b"1") and not files.create_new(spark, path, b"2")
+    assert files.read_bytes(spark, path) == b"1" and [n for n in files.children(spark, f"{tmp_path}/x") if n.endswith(".part")] == []
+    doc = files.Document(spark, f"{tmp_path}/x")
+    assert doc.commit(1, {"a": 1}) and not doc.commit(1, {}) and doc.load() == (2, {"a": 1})

@@ -198,3 +198,49 @@ def test_read_amplification(spark):
     rows = [entry(0, 1, b"a"), entry(0, 2, b"a"), entry(1, 3, b"a"), entry(1, 3, b"b")]
     got = {bytes(r.key_bytes): (r.versions, r.runs) for r in versions.read_amplification(frame(spark, rows)).collect()}
     assert got == {b"a": (3, 3), b"b": (1, 1)}
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_sums_within_groups(spark, partitions):
+    from mergestone.operators.offsets import segmented_offsets
+
+    rng = random.Random(partitions)
+    rows = [(rng.choice([None, 1, 2, 2, 2, 2, 9]), rng.choice([b"x", b"y"]), i, rng.choice([None, 1, 5])) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, h binary, at int, n long").withColumn("one", F.lit(1).cast("long"))
+    got = segmented_offsets(df, ["g", "h"], ["at"], ["n", "one"], partitions=partitions).collect()
+    before, want = {}, {}
+    for g, h, at, n in sorted(rows, key=lambda r: r[2]):
+        total, count = before.get((g, h), (0, 0))
+        want[at] = (total, count)
+        before[(g, h)] = (total + (n or 0), count + 1)
+    assert {r["at"]: (r.n_before, r.one_before) for r in got} == want and len(got) == 400
+    assert segmented_offsets(df.limit(0), ["g"], ["at"], ["n"]).collect() == []
+
+
+def test_filters_of_split_runs(spark):
+    rows = [(1, 0, run, b"%d" % i, b"", False, i, i) for run, n in ((1, 500), (2, 3)) for i in range(n)]
+    for most in (50, 10**6):
+        got = {r.run: (r["keys"], r.rejected, r.false_positives) for r in runs.bloom_probe(spark.createDataFrame(rows, ENTRIES), filter_keys=most).collect()}
+        assert {k: v[:2] for k, v in got.items()} == {1: (500, 0), 2: (3, 0)} and got[1][2] < 30
+
+
+def test_only_wanted_keys_are_resolved(spark):
+    rows = [(1, 0, run, key, b"v%d" % run, False, run, run) for run in (1, 2) for key in (b"a", b"b", b"c")]
+    wanted = spark.createDataFrame([(1, b"b"), (1, b"b"), (1, b"x")], "store_id int, key_bytes binary")
+    kept = versions.wanted_only(spark.createDataFrame(rows, ENTRIES), wanted)
+    assert sorted((bytes(r.key_bytes), r.run) for r in kept.collect()) == [(b"b", 1), (b"b", 2)]
+    got = versions.multi_get(wanted, versions.latest(kept)).collect()
+    assert {bytes(r.key_bytes): (r.found, r.value_bytes and bytes(r.value_bytes)) for r in got} == {b"b": (True, b"v2"), b"x": (False, None)}
+
+
+def test_number_of_tasks(spark, tmp_path):
+    from mergestone import session
+
+    assert session.tasks_for(spark.createDataFrame([(1,)], "a int")) == 4  # of unknown size: the session's number
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    joined = table.join(table.withColumnRenamed("id", "x"), F.col("id") == F.col("x"))
+    assert session.tasks_for(joined) == 4
+    with session.shuffle_tasks(spark, 9):
+        assert session.parallelism(spark) == 9
+    assert session.parallelism(spark) == 4
