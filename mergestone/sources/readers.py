@@ -138,17 +138,19 @@ class _SstReader(_FileReader):
 
     def pushFilters(self, filters):  # noqa: N802
         for f in filters:
-            if f.attribute != ("key_bytes",) or not isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, IsNotNull)):
+            if not isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, IsNotNull)) or f.attribute != ("key_bytes",):
                 yield f
             elif isinstance(f, (EqualTo, In)):
                 keys = {bytes(v) for v in (f.value if isinstance(f, In) else [f.value]) if v is not None}
                 self.keys = keys if self.keys is None else self.keys & keys
             elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
                 self.low = max(self.low or b"", bytes(f.value))
+                if isinstance(f, GreaterThan):
+                    yield f  # the bound itself is left to Spark
             elif isinstance(f, (LessThan, LessThanOrEqual)):
                 self.high = bytes(f.value) if self.high is None else min(self.high, bytes(f.value))
-            if isinstance(f, (GreaterThan, LessThan)):
-                yield f  # the bound itself is left to Spark
+                if isinstance(f, LessThan):
+                    yield f
 
     def _batches(self, path: str, f) -> Iterator:
         from mergestone.sources.formats import RunReader
