@@ -54,9 +54,18 @@ def shared_root(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+_folders: set[str] = set()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    path = f"{shared_root(spark)}/mergestone/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder, which is deleted when the application ends."""
+    from mergestone.sources.files import delete_on_exit
+
+    folder = f"{shared_root(spark)}/mergestone/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        delete_on_exit(spark, folder)
+        _folders.add(folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     return path
 

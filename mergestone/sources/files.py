@@ -41,6 +41,13 @@ def make_dirs(spark: SparkSession, path: str) -> None:
     fs.mkdirs(p)
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Makes a folder that the driver's JVM deletes as it ends."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names directly under a folder, sorted; none if it is missing."""
     fs, p = _fs(spark, path)

@@ -461,6 +461,26 @@ def test_release_deletes_what_was_written(spark, tmp_path):
     session._written[:] = kept
 
 
+def test_intermediate_tables_go_with_the_application(tmp_path):
+    import subprocess
+    import sys
+    import time
+
+    code = f"""
+from mergestone.session import build_session, materialize
+spark = build_session("local[1]", 1, spark__ui__enabled="false", spark__checkpoint__dir="file://{tmp_path}/shared")
+assert materialize(spark.range(5), "x").count() == 5
+import os
+assert os.listdir("{tmp_path}/shared/mergestone") == [spark.sparkContext.applicationId]
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, capture_output=True)
+    deadline = time.time() + 60
+    while list((tmp_path / "shared" / "mergestone").iterdir()) and time.time() < deadline:
+        time.sleep(0.5)  # the JVM ends after the interpreter
+    assert list((tmp_path / "shared" / "mergestone").iterdir()) == []
+
+
 def test_marks(spark, tmp_path):
     source = str(tmp_path / "in")
     write(spark, [record(s, i, minute=i) for s in (1, 2, 3) for i in range(1, 6)] + [record(1, 2, minute=50), record(1, 1, minute=59), record(1, 1, term=9, minute=58)], source)
