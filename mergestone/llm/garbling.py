@@ -453,7 +453,7 @@ def _decode_words(text: str) -> tuple[str, int]:
 _MARKS = "‡†ˆ‰‹›•™¢£¤¥¦§¨©ª¬®¯±²³¹¶¸»«¼½¾¿¡÷ƒ„‚˜“”"
 #: Each pattern begins with the class of its signs, by which the search skips to them; what stands before them is looked at then.
 _ODD = re.compile(
-    f"[{_MARKS}À-ÖØ-ÞŠŒŽŸýðþœ](?:"
+    f"[{_MARKS}À-ÖØ-ÞŠŒŽŸýðþœñê](?:"
     f"(?<=[A-Za-zß-öø-ÿ][{_MARKS}])(?=[A-Za-zß-öø-ÿ³±¹¶¿¼¾])"
     "|(?<=[a-zß-öø-ÿ][À-ÖØ-ÞŠŒŽŸ])(?=[a-zß-öø-ÿ])"
     "|(?<=[A-Z][ŠŽŸ])(?=[a-z])"
@@ -463,6 +463,7 @@ _ODD = re.compile(
     "|(?<=IÕ)(?=(?:d|m|ll|ve) )"
     "|(?<=[a-z][a-z][a-z]ª)(?![A-Za-z])|(?<=[a-z]³)(?=¹)|(?<=[a-z][±¶])(?![A-Za-z0-9])"
     "|(?<=[a-z]œ)(?=[bcdgkmnpwz])"
+    "|(?<=[a-zó]ñ)(?=[bcdfgklmnprstwz])|(?<=[a-z]ê)(?=dz)|(?<=[a-z]{5}³)(?![A-Za-z0-9])"
     "|(?<=[0-9] Û)(?![A-Za-z])|(?<=[a-zà-ÿ] ˆ)(?= [a-zà-ÿ])"
     "|(?<= Ð)(?= )|(?<=[a-z] Ñ)(?= [A-Za-z])"
     "|(?<=[a-zçöüâ][ýðþ])(?![áéíóúæ])|(?<=Þ)(?<![A-Za-zÀ-ÿ]Þ)(?=[a-zý])(?![óo]rr?)"
