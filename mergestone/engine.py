@@ -115,7 +115,7 @@ class Engine:
             return self.spark.createDataFrame([], LOG)
         paths = [f"{self.config.wal_dir}/batch={c['batch']}" for c in commits]
         rows = self.spark.read.schema(f"{BATCH}, batch string").option("basePath", self.config.wal_dir).parquet(*paths)
-        # one row for each commit that isn't flushed yet
+        # one row for each commit that isn't flushed yet; the memtable's limit bounds their bytes, and each has a record
         firsts = self.spark.createDataFrame([(c["batch"], c["first"], c["segment"]) for c in commits], "batch string, first long, segment int")
         rows = rows.join(F.broadcast(firsts), "batch").withColumn("log_index", F.col("first") + F.col("pos"))
         return rows.where(F.col("log_index") > mark).select([c.split()[0] for c in LOG.split(", ")])
