@@ -254,7 +254,8 @@ def _one_east(piece: str, text: str, at: int, run: int) -> str | None:
 
 codecs.register_error("mergestone_mark", lambda e: (b"\xff" * (e.end - e.start), e.end))
 #: Four or more letters of two bytes each in one alphabet, or two or more characters of three bytes, with ASCII signs between them.
-_UTF8_PART = re.compile(rb"(?:[\xe2-\xef][\x80-\xbf]{2}[\x20-\x7e]{0,2}){2,}|(?:[\xd0\xd1][\x80-\xbf][\x20-\x7e]{0,2}){4,}|(?:[\xce\xcf][\x80-\xbf][\x20-\x7e]{0,2}){4,}")
+#: All that it matches is strict UTF-8: \xed with a trail from \xa0 on would be half a surrogate pair.
+_UTF8_PART = re.compile(rb"(?:(?:[\xe2-\xec\xee\xef][\x80-\xbf]|\xed[\x80-\x9f])[\x80-\xbf][\x20-\x7e]{0,2}){2,}|(?:[\xd0\xd1][\x80-\xbf][\x20-\x7e]{0,2}){4,}|(?:[\xce\xcf][\x80-\xbf][\x20-\x7e]{0,2}){4,}")
 _KANA_OR_MARK = re.compile("[\u3000-\u30ff\uff01-\uff5e\u2010-\u2027]")
 
 

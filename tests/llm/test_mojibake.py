@@ -120,6 +120,30 @@ def test_parts_of_east_asian_runs():
         assert not repair(clean).found
 
 
+def test_bytes_of_surrogate_halves_are_no_utf8():
+    for clean in ("功。我Σ", "很好，娌№爛"):  # as bytes of a double-byte page, these hold \xed and a trail from \xa0 on
+        r = repair(clean)
+        assert (r.text, r.found) == (clean, False)
+    half = "没有人用过木头".encode() + b"\xed\xa0\xbd\xed\xb8\x80" + "，因为漏水了".encode()
+    r = repair("这个很好。" + half.decode("gbk", "replace"))
+    assert r.found and r.lost and r.text.startswith("这个很好。没有人用过木头") and r.text.endswith("，因为漏水了")
+
+
+def test_parts_taken_for_utf8_decode():
+    from mergestone.llm.garbling import _UTF8_PART
+
+    for lead in range(0xE2, 0xF0):
+        for second in range(0x80, 0xC0):
+            raw = bytes([lead, second, 0x80]) * 2
+            assert bool(_UTF8_PART.fullmatch(raw)) == (raw.decode("utf-8", "ignore") != ""), raw
+
+
+def test_frame_with_surrogate_halves(spark):
+    df = spark.createDataFrame([(1, "功。我Σ"), (2, "naÃ¯ve"), (3, "很好，娌№爛")], "doc_id long, text string")
+    assert [r.doc_id for r in garbled(df).collect()] == [2]
+    assert sorted((r.doc_id, r.repaired) for r in repair_texts(df).collect()) == [(1, "功。我Σ"), (2, "naïve"), (3, "很好，娌№爛")]
+
+
 def test_all_garbled_parts_of_a_line():
     bad = sloppy("Сосед".encode("cp1251"), "cp1252")
     line = " ".join(f"plain text number {i} then {bad}" for i in range(12))
